@@ -128,7 +128,7 @@ def _forward(spark: SparkSession, sf: str, **options) -> DataFrame:
 def q_load_assets(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["date", "barrid", "ticker", "price", "return", "specific_risk"]
     source = frame(spark, sf, "fx_assets")
-    return rounded(load_assets(spark, source, SHORT_START, SHORT_END, columns))
+    return rounded(load_assets(spark, source, SHORT_START, SHORT_END, columns), 12)
 
 
 def q_load_exposures(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +140,7 @@ def q_load_exposures(spark: SparkSession, sf: str) -> DataFrame:
 def q_load_market_daily(spark: SparkSession, sf: str) -> DataFrame:
     source = frame(spark, sf, "fx_market_daily")
     columns = ["date", "permno", "cusip", "primaryexch", "ret", "prc", "vol", "shrout"]
-    return rounded(load_market_daily(spark, source, SHORT_START, SHORT_END, columns))
+    return rounded(load_market_daily(spark, source, SHORT_START, SHORT_END, columns), 12)
 
 
 def q_load_factors(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,9 +241,7 @@ def q_reversed_exposure_signal(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_market_cap(spark: SparkSession, sf: str) -> DataFrame:
     market = frame(spark, sf, "fx_market_daily")
-    return rounded(
-        market.select("date", "permno", market_cap("shrout", "prc").alias("market_cap")), 4
-    )
+    return market.select("date", "permno", market_cap("shrout", "prc").alias("market_cap"))
 
 
 def q_universe_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +253,7 @@ def q_universe_filter(spark: SparkSession, sf: str) -> DataFrame:
         finite="no_posinf",
         not_null=("specific_risk", "predicted_beta"),
     )
-    return rounded(kept.select("date", "barrid", "price", "illiq"))
+    return rounded(kept.select("date", "barrid", "predicted_beta", "illiq"))
 
 
 def q_exchange_filter(spark: SparkSession, sf: str) -> DataFrame:
