@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.sources.staging import stage
+
 BODIES = {
     "fx_cells": """
 SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS date,
@@ -89,4 +91,6 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in BODIES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs = {d: frame(spark, sf_dir, d) for d in DEPENDS[name]}
+    if name == "fx_covariances":
+        inputs = {d: stage(df) for d, df in inputs.items()}  # read once per branch
     return spark.sql(BODIES[name].replace("{q}", "`"), **inputs)

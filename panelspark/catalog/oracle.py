@@ -598,7 +598,7 @@ FROM w99 WHERE {SHORT}""",
         "illiq_monthly_market": f"""
 SELECT permno, date, {rs(['liquidity', 'ret', 'price_lag'], 10)}, n_days, n_days_lag FROM d4""",
         "illiq_monthly_panel": f"""
-SELECT date, barrid, {r('price_lag', 10)}, {r('x', 10, 'raw_liq')}, {r('liquidity', 10)},
+SELECT date, barrid, {r('price_lag', 12)}, {r('x', 12, 'raw_liq')}, {r('liquidity', 12)},
   n_days_lag FROM d5""",
         "illiq_rolling": f"SELECT date, barrid, {r('illiq', 9)} FROM d6",
         "illiq_rolling_ewm": f"""

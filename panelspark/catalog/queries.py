@@ -202,7 +202,7 @@ def q_illiq_monthly_panel(spark: SparkSession, sf: str) -> DataFrame:
     monthly = ps.illiq_monthly_panel(panel)
     return rounded(
         monthly.select("date", "barrid", "price_lag", "raw_liq", "liquidity", "n_days_lag"),
-        10,
+        12,
     )
 
 

@@ -18,7 +18,7 @@ from panelspark.functions.numeric import (
     null_cumsum,
     product1,
 )
-from panelspark.operators.windows import asset_window
+from panelspark.operators.windows import asset_window, long_rolling
 
 # Longest history the exponential mean accepts. Its running sums grow by
 # 1 / (1 - alpha) per row, and a double overflows past this many growth factors.
@@ -65,7 +65,7 @@ def illiq_monthly_panel(df: DataFrame, key: str = "barrid") -> DataFrame:
     the previous month is the end of a RANGE frame that stops one month back, so the
     monthly aggregate never has to be joined back to the daily rows.
     """
-    in_month = Window.partitionBy(key, "month")
+    in_month = Window.partitionBy(key, "_month_no")
     earlier = (
         Window.partitionBy(key)
         .orderBy("_month_no")
@@ -175,12 +175,12 @@ def vol_scaled_momentum(
     """Rolling log return over rolling volatility, delayed by ``skip`` rows."""
     order = asset_window(key)
     return (
-        df.withColumn("_log", ieee_log1p("return"))
-        .withColumns(
-            {
-                "_sum": full_window(F.sum, "_log", order, window),
-                "_std": full_window(F.stddev_samp, "return", order, window),
-            }
+        long_rolling(
+            df.withColumn("_log", ieee_log1p("return")),
+            key,
+            window,
+            sums={"_sum": "_log"},
+            deviations={"_std": "return"},
         )
         .withColumn("_ratio", ieee_div("_sum", "_std"))
         .withColumn(name, F.lag("_ratio", skip).over(order))
@@ -204,14 +204,18 @@ def composite_exposure_signal(
     """Lagged (weighted) sum of exposures over a fixed divisor, NULL if any part is NULL.
 
     ``cols`` is a list, or a mapping of column to weight; ``{"X": -1}`` with divisor 1 is a
-    reversed exposure. Exposures are left-joined on (date, ``key``), a well-spread pair.
+    reversed exposure. Exposures are left-joined on (date, ``key``). The panel is declared
+    partitioned by ``key``: the planner replaces that by its own shuffle where the join needs
+    both keys, and where ``spark.sql.requireAllClusterKeysForCoPartition`` is false it serves
+    the join and the lag with one shuffle per side.
     """
     parts = [
         F.col(c) * float(cols[c]) if isinstance(cols, Mapping) else F.col(c) for c in cols
     ]
     total: Column = reduce(add, parts)
     return (
-        df.join(exposures.select("date", key, *cols), ["date", key], "left")
+        df.repartition(key)
+        .join(exposures.select("date", key, *cols), ["date", key], "left")
         .withColumn("_composite", total / float(divisor))
         .withColumn(name, F.lag("_composite", lag).over(asset_window(key)))
         .drop("_composite")

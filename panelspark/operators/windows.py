@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.functions.numeric import is_finite
+
 
 def asset_window(key: str, date: str = "date") -> WindowSpec:
     """One asset's rows in date order."""
@@ -43,3 +45,71 @@ def join_dated(
 ) -> DataFrame:
     """Attach per-date values to rows without shuffling the rows."""
     return rows.join(broadcast_dated(dated, date), date, how)
+
+
+def long_rolling(
+    df: DataFrame, key: str, rows: int, sums: dict[str, str], deviations: dict[str, str]
+) -> DataFrame:
+    """Rolling sums and sample deviations over long frames at constant cost per row.
+
+    A sliding frame is re-aggregated for every row, which at hundreds of rows per frame
+    dominates a job. Here each asset's history is cut into blocks of ``rows`` rows; any frame
+    is the end of one block plus the start of the next, and both are running aggregates. The
+    two parts merge without cancellation, and a non-finite value touches no frame but its own.
+    ``sums`` and ``deviations`` map an output name to its input column. Frames that are not
+    full of non-null values give NULL. All steps stay in the one shuffle by ``key``.
+    """
+    order = asset_window(key)
+    block = Window.partitionBy(key, "_block")
+    spans = {
+        side: block.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for side, by in (("_head", F.asc("date")), ("_tail", F.desc("date")))
+    }
+    parts = {}
+    for name, column in sums.items():
+        parts |= {f"{name}_n": F.count(column), f"{name}_sum": F.sum(column)}
+    for name, column in deviations.items():
+        parts |= {
+            f"{name}_n": F.count(column),
+            f"{name}_avg": F.avg(column),
+            f"{name}_var": F.var_pop(column),
+            f"{name}_min": F.min(column),
+            f"{name}_max": F.max(column),
+        }
+    df = df.withColumn("_row", F.row_number().over(order) - 1).withColumn(
+        "_block", F.floor(F.col("_row") / rows)
+    )
+    for side, span in spans.items():
+        df = df.withColumns({f"{side}{n}": a.over(span) for n, a in parts.items()})
+    straddles = F.col("_row") % rows < rows - 1
+    df = df.withColumns(
+        {f"_tail{n}": F.when(straddles, F.lag(f"_tail{n}", rows - 1).over(order)) for n in parts}
+    )
+
+    def both(name: str, part: str):
+        return F.col(f"_head{name}_{part}"), F.col(f"_tail{name}_{part}")
+
+    def full(name: str):
+        head, tail = both(name, "n")
+        return head + F.coalesce(tail, F.lit(0)) >= rows
+
+    results = {}
+    for name in sums:
+        head, tail = both(name, "sum")
+        results[name] = F.when(full(name), F.when(straddles, head + tail).otherwise(head))
+    for name in deviations:
+        n_head, n_tail = both(name, "n")
+        gap = F.col(f"_head{name}_avg") - F.col(f"_tail{name}_avg")
+        var_head, var_tail = both(name, "var")
+        square = var_head * n_head
+        merged = square + var_tail * n_tail + gap * gap * n_head * n_tail / float(rows)
+        low = F.least(*both(name, "min"))
+        high = F.greatest(*both(name, "max"))
+        results[name] = F.when(
+            full(name),
+            F.when(is_finite(low) & is_finite(high) & (low == high), 0.0).otherwise(
+                F.sqrt(F.when(straddles, merged).otherwise(square) / float(rows - 1))
+            ),
+        )
+    helpers = [f"{side}{n}" for side in spans for n in parts]
+    return df.withColumns(results).drop("_row", "_block", *helpers)

@@ -6,7 +6,7 @@ from panelspark.sources.loaders import (
     load_market_daily,
     read_weights,
 )
-from panelspark.sources.staging import stage, staging_root
+from panelspark.sources.staging import release, stage, staging_root
 from panelspark.sources.writers import write_alphas, write_weights
 
 __all__ = [
@@ -17,6 +17,7 @@ __all__ = [
     "load_factors",
     "load_market_daily",
     "read_weights",
+    "release",
     "stage",
     "staging_root",
     "write_alphas",

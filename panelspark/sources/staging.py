@@ -31,9 +31,20 @@ def staging_root(spark: SparkSession) -> str:
     )
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/panelspark/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a frame that scans the written copy."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/panelspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every copy this application staged; frames that scan them stop working."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)

@@ -77,3 +77,23 @@ def test_factor_solve_runs_on_one_row_per_date(spark):
     assert "MapInPandas" in plan and "BatchEvalPython" not in plan
     below = plan.split("MapInPandas")[1]
     assert below.index("HashAggregate") < below.index("Scan")
+
+
+def test_exposure_join_and_lag_can_share_a_shuffle(spark, panel):
+    loads = stage(frame(spark, TINY, "fx_exposures").select("date", "barrid", "USSLOWL_VALUE"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    }
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        signal = ps.composite_exposure_signal(panel, loads, ["USSLOWL_VALUE"])
+        assert shuffles(signal) == 3
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        signal = ps.composite_exposure_signal(panel, loads, ["USSLOWL_VALUE"])
+        assert shuffles(signal) == 2
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)

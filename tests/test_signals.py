@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import panelspark as ps
+from panelspark.functions import full_window
+from panelspark.operators.windows import asset_window, long_rolling
 from tests.conftest import day
 
 PANEL = "date date, barrid string, price double, return double, daily_volume double"
@@ -173,3 +175,36 @@ def test_first_row_never_passes_a_price_rule(spark):
     )
     out = ps.universe_filter(df, "barrid", "s", min_price_lag=5.0).collect()
     assert [r.date for r in out] == [day(1)]
+
+
+def test_long_frames_match_sliding_frames(spark):
+    """Blocks agree with plain frames around missing, infinite and constant stretches."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for a in ("a", "b", "c"):
+        for d in range(97 if a != "c" else 9):
+            x = float(rng.normal(0, 1) * 10.0 ** rng.integers(-6, 3))
+            if d % 41 == 20:
+                x = None
+            elif d == 60 and a == "b":
+                x = math.inf
+            elif 30 <= d < 50:
+                x = 0.1
+            rows.append((day(d), a, x))
+    df = spark.createDataFrame(rows, "date date, barrid string, x double")
+    order = asset_window("barrid")
+    both = long_rolling(df, "barrid", 10, {"s": "x"}, {"d": "x"}).withColumns(
+        {
+            "s0": full_window(F.sum, "x", order, 10),
+            "d0": full_window(F.stddev_samp, "x", order, 10),
+        }
+    )
+    out = both.collect()
+    assert len(out) == len(rows) and sum(r.s is not None for r in out) > 100
+    assert any(r.d == 0.0 for r in out) and any(r.s == math.inf for r in out)
+    for r in out:
+        for got, want in ((r.s, r.s0), (r.d, r.d0)):
+            if want is None or math.isnan(want):
+                assert got is None if want is None else math.isnan(got)
+            else:
+                assert got == pytest.approx(want, rel=1e-12, abs=1e-13)
