@@ -580,6 +580,10 @@ FROM fx_assets WHERE in_universe AND {SHORT}""",
         "load_exposures": f"""
 SELECT date, barrid, {rs(['USSLOWL_EARNQLTY', 'USSLOWL_PROFIT', 'USSLOWL_VALUE'])}
 FROM fx_exposures WHERE {SHORT}""",
+        "load_exposures_in_universe": f"""
+SELECT e.date, e.barrid, {rs(['USSLOWL_EARNQLTY', 'USSLOWL_PROFIT', 'USSLOWL_VALUE'])}
+FROM fx_exposures e JOIN fx_assets a ON a.date = e.date AND a.barrid = e.barrid
+WHERE a.in_universe AND e.{SHORT}""",
         "load_market_daily": f"""
 SELECT date, permno, cusip, primaryexch, {rs(['ret', 'prc', 'vol', 'shrout'], 12)}
 FROM fx_market_daily WHERE {SHORT}""",

@@ -137,6 +137,21 @@ def q_load_exposures(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(load_exposures(spark, source, SHORT_START, SHORT_END, columns))
 
 
+def q_load_exposures_in_universe(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["date", "barrid", *COMPOSITE]
+    return rounded(
+        load_exposures(
+            spark,
+            frame(spark, sf, "fx_exposures"),
+            SHORT_START,
+            SHORT_END,
+            columns,
+            in_universe=True,
+            universe=frame(spark, sf, "fx_assets"),
+        )
+    )
+
+
 def q_load_market_daily(spark: SparkSession, sf: str) -> DataFrame:
     source = frame(spark, sf, "fx_market_daily")
     columns = ["date", "permno", "cusip", "primaryexch", "ret", "prc", "vol", "shrout"]

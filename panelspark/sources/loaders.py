@@ -63,9 +63,21 @@ def load_exposures(
     end: dt.date | None = None,
     columns: Sequence[str] | None = None,
     in_universe: bool = False,
+    universe: Source | None = None,
 ) -> DataFrame:
-    """Wide factor-exposure panel; ``in_universe`` needs that column in the table."""
-    return _load(spark, source, contracts.EXPOSURE_KEYS, start, end, columns, in_universe)
+    """Wide factor-exposure panel, optionally only universe members.
+
+    Membership is the table's own ``in_universe`` flag, or that of the asset panel given as
+    ``universe``, matched on (date, barrid).
+    """
+    contract = contracts.EXPOSURE_KEYS
+    if not in_universe or universe is None:
+        return _load(spark, source, contract, start, end, columns, in_universe)
+    members = load_assets(spark, universe, start, end, ["date", "barrid"])
+    names = list(columns) if columns is not None else _open(spark, source).columns
+    keyed = list(dict.fromkeys(["date", "barrid", *names]))
+    rows = _load(spark, source, contract, start, end, keyed)
+    return rows.join(members, ["date", "barrid"], "left_semi").select(*names)
 
 
 def load_market_daily(

@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelspark.catalog import queries
+from panelspark.catalog.fixtures import frame
+from panelspark.sources import stage
 from tests.conftest import TINY
 
 TABLES = ["supplier", "orders", "lineitem"]
@@ -21,6 +24,21 @@ def duck():
     con.close()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_panels():
+    """Derive each panel once for all queries of this module."""
+    made = {}
+
+    def cached(spark, folder, name):
+        if (folder, name) not in made:
+            made[folder, name] = stage(frame(spark, folder, name))
+        return made[folder, name]
+
+    original, queries.frame = queries.frame, cached
+    yield
+    queries.frame = original
+
+
 def cell(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value)

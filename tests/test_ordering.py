@@ -7,8 +7,9 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 import panelspark as ps
+from panelspark.catalog import fixtures
 from panelspark.operators import ordering
-from tests.conftest import day
+from tests.conftest import TINY, day
 
 SCHEMA = "date date, asset string, x double"
 
@@ -149,3 +150,29 @@ def test_zscores(spark):
     scores = {r.asset: r.score for r in raw if r.date != day(0)}
     assert scores["solo"] is None
     assert np.isnan(scores["a"]) and np.isnan(scores["b"])
+
+
+def test_bins_do_not_depend_on_row_order_or_partitions(spark):
+    df = spark.createDataFrame(skewed(rows=600), SCHEMA)
+    shuffled = df.orderBy(F.rand(3)).repartition(7)
+
+    def labels(frame):
+        out = ps.quantile_bins(frame, "x", 4, strict=False)
+        return {(r.date, r.asset): r.bin for r in out.collect()}
+
+    assert labels(df) == labels(shuffled)
+
+
+def test_a_supplier_with_a_third_of_all_lines_is_combined_before_the_shuffle(spark):
+    """The derived panel holds one row per asset and date however many lines feed it."""
+    lines = spark.read.parquet(f"{TINY}/lineitem.parquet")
+    hot = lines.withColumn(
+        "l_suppkey",
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit(1)).otherwise(F.col("l_suppkey")).cast("long"),
+    )
+    cells = spark.sql(fixtures.BODIES["fx_cells"], lineitem=hot)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") > plan.index("Exchange")
+    per_asset = cells.groupBy("asset").count().orderBy(F.desc("count")).first()
+    assert per_asset["count"] <= lines.select(F.to_date("l_shipdate")).distinct().count()
+    assert cells.count() == cells.select("asset", "date").distinct().count()

@@ -61,6 +61,21 @@ def test_contracts(spark, assets_path):
         load_exposures(spark, exposures, columns=["date", "barrid"], in_universe=True)
 
 
+def test_exposures_of_universe_members(spark, assets_path):
+    members = load_assets(spark, assets_path, columns=["date", "barrid"])
+    dropped = members.first()
+    assets = spark.read.parquet(assets_path).withColumn(
+        "in_universe",
+        ~((F.col("date") == F.lit(dropped.date)) & (F.col("barrid") == dropped.barrid)),
+    )
+    exposures = frame(spark, TINY, "fx_exposures")
+    kept = load_exposures(
+        spark, exposures, columns=["barrid", "USSLOWL_VALUE"], in_universe=True, universe=assets
+    )
+    assert kept.columns == ["barrid", "USSLOWL_VALUE"]
+    assert kept.count() == exposures.count() - 1
+
+
 def rows_of(df):
     return sorted((r.date, r.barrid, r.weight) for r in df.collect())
 
