@@ -26,9 +26,9 @@ def staging_root(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _FALLBACK.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="panelspark-")
-    )
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="panelspark-")
+    return _FALLBACK[context.applicationId]
 
 
 def _application_folder(spark: SparkSession) -> str:

@@ -17,6 +17,7 @@ from panelspark.sources import (
     write_alphas,
     write_weights,
 )
+from panelspark.sources import staging
 from tests.conftest import TINY
 
 START, END = dt.date(1995, 1, 1), dt.date(1996, 6, 30)
@@ -125,6 +126,15 @@ def test_stage_lands_in_the_named_folder_and_cuts_lineage(spark):
     assert "Exchange" not in executed(staged)
 
 
+def test_release_drops_this_applications_copies(tmp_path, monkeypatch, spark):
+    monkeypatch.setattr(staging, "staging_root", lambda session: str(tmp_path))
+    staging.stage(spark.range(3))
+    folder = tmp_path / "panelspark" / spark.sparkContext.applicationId
+    assert folder.exists()
+    staging.release(spark)
+    assert not folder.exists() and tmp_path.exists()
+
+
 def test_signal_comparison_reads_stored_weights(spark, assets_path, tmp_path):
     path = str(tmp_path / "weights")
     panel = load_assets(spark, assets_path, columns=["date", "barrid"])
