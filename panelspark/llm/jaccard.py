@@ -15,9 +15,9 @@ most slack = n - ceil(n * percent / 100). That gives prefixes under a global tok
   larger set, so a set that can be similar to one on the next level signs for both levels.
 
 Candidates that share a signature are verified on their whole texts. A group of near copies
-would be quadratic in pairs, so hub rounds come first: each node is verified only against
-the member with the smallest salted hash with which it shares most signatures, and links
-become components. After that just the pairs that still cross components are formed, past a
+would be quadratic in pairs, so hubs come first: each node is verified only against the group
+member of smallest salted hash with which it shares most signatures, and links join
+components. After that just the pairs that still cross components are formed, past a
 size filter and a parity-bitmap filter (an upper bound, so nothing is lost), and verified.
 Components are therefore exactly those of all links.
 """
@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.graph import connected_components
@@ -47,7 +47,7 @@ from panelspark.sources import stage
 # Counters of the frequency sketch: 2**22 of 16 bits, 8 MB in a task, 0.5 MB of flags sent out.
 _COUNTERS = 1 << 22
 _CHUNK = 1 << 14
-_FREQUENT = 64
+_FREQUENT = 32
 _SINGLES_BELOW = 4
 _SALT = U64(0x5851F42D4C957F2D)
 
@@ -125,7 +125,8 @@ def _members_and_counts(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _frequent_flags(spark: SparkSession, counts: DataFrame, total: int) -> np.ndarray:
     """True for the counters that stand out: 2**22 bits, whatever the table's size."""
-    least = int(_FREQUENT + 2 * total / _COUNTERS)
+    load = total / _COUNTERS
+    least = int(_FREQUENT + load + 6 * load**0.5)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -299,9 +300,12 @@ def _fits(percent: int, one: str, two: str):
     return F.expr(f"100 * least({one}, {two}) >= {percent} * greatest({one}, {two})")
 
 
-def _hub_pairs(live: DataFrame, percent: int, salt: int) -> DataFrame:
-    """(a, b): each node with the group hub it shares most signatures with, across components."""
-    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("rank"), "node", "size", "label")
+def _hub_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node with the group hub it shares most signatures with.
+
+    Hubs have a smaller salted hash than their nodes, so following them ends.
+    """
+    rank = F.struct(F.xxhash64("node", F.lit(1)).alias("rank"), "node", "size", "label")
     hubs = (
         live.groupBy("sign")
         .agg(F.min(rank).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -320,19 +324,44 @@ def _hub_pairs(live: DataFrame, percent: int, salt: int) -> DataFrame:
 
 
 def _crossing_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every pair of nodes that shares a signature and lies in two components."""
+    """(a, b): every pair of nodes that shares a signature and lies in two components.
+
+    A pair that shares many signatures comes up once for each. Where both nodes also have the
+    same signature just before, the pair has come up there, so it is left out here.
+    """
     mixed = live.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rest = live.join(mixed.where("low < high").select("sign"), "sign")
-    one = rest.select("sign", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    two = rest.select("sign", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    return one.join(two, "sign").where("a < b AND la <> lb").where(_fits(percent, "na", "nb")).select("a", "b").distinct()
+    rest = live.join(mixed.where("low < high").select("sign"), "sign").withColumn(
+        "before", F.lag("sign").over(Window.partitionBy("node").orderBy("sign"))
+    )
+    rest = stage(rest)
+
+    def side(name: str) -> DataFrame:
+        return rest.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "label", "before")])
+
+    fresh = "before_a IS NULL OR before_b IS NULL OR before_a <> before_b"
+    pairs = side("a").join(side("b"), "sign").where("node_a < node_b AND label_a <> label_b").where(fresh)
+    return (
+        pairs.where(_fits(percent, "size_a", "size_b"))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )
+
+
+def _hub_labels(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(node, label) from links (a, b) with one hub b per node a: hubs of hubs are followed."""
+    up = stage(links.select(F.col("a").alias("node"), F.col("b").alias("label")))
+    for _ in range(jumps):
+        above = up.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        joined = up.join(above, "label", "left")
+        up = stage(joined.select("node", F.coalesce("higher", "label").alias("label")))
+    return up
 
 
 def jaccard_components(
     docs: DataFrame,
     shingle: int = 5,
     percent: int = 75,
-    hub_rounds: int = 2,
+    hubs: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -361,8 +390,8 @@ def jaccard_components(
     flags = _frequent_flags(spark, scanned.where("chunk IS NOT NULL").select("chunk", "counts"), total)
 
     postings = stage(_postings(source, flags, shingle, percent))
-    groups = postings.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    live = stage(postings.join(groups.where("low < high").select("sign"), "sign").distinct())
+    groups = postings.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
+    live = stage(postings.join(groups, "sign").distinct())
 
     nodes = live.select("node").distinct()
     keys = members.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("size").alias("size"))
@@ -377,19 +406,15 @@ def jaccard_components(
     )
     verifier = _Verifier(texts, shingle, percent)
 
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
     labelled = live.withColumn("label", F.col("node"))
-    for salt in range(hub_rounds):
-        found = verifier.links(_hub_pairs(labelled, percent, salt))
-        links = stage(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        labels = stage(connected_components(links))
+    links = None
+    if hubs:
+        links = stage(verifier.links(_hub_pairs(labelled, percent)))
+        labels = _hub_labels(links)
         labelled = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     candidates = stage(verifier.filtered(_crossing_pairs(labelled, percent)))
     found = verifier.links(candidates)
-    if labels is not None:
-        found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    labels = stage(connected_components(found))
+    labels = stage(connected_components(found if links is None else found.unionByName(links)))
 
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
