@@ -148,12 +148,12 @@ def filled_curve(source: str) -> str:
     )
 
 
-def summary(source: str, key: str, periods: int) -> str:
+def summary(source: str, key: str, periods: int, digits: int = 8) -> str:
     lead = f"{key}, " if key else ""
     group = f" GROUP BY {key}" if key else ""
     return f"""
-SELECT {lead}round(m, 8) + 0e0 AS mean_return, round(v, 8) + 0e0 AS volatility,
-  round(m/v, 8) + 0e0 AS sharpe
+SELECT {lead}round(m, {digits}) + 0e0 AS mean_return, round(v, {digits}) + 0e0 AS volatility,
+  round(m/v, {digits}) + 0e0 AS sharpe
 FROM (SELECT {lead}avg(r)*{periods}e0 AS m, stddev_samp(r)*sqrt({periods}e0) AS v
       FROM {source}{group})"""
 
@@ -339,8 +339,9 @@ def factor_risk() -> None:
     names = ["USSLOWL_EARNQLTY", "USSLOWL_PROFIT", "USSLOWL_VALUE"]
     x = ["x0", "x1", "x2"]
     load = ", ".join(f"coalesce({c}, 0e0) AS x{i}" for i, c in enumerate(names))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in names)
     CTES["fr_u"] = f"""
-SELECT u.date, u.barrid, u.beta, u.p, u.alpha, {load}
+SELECT u.date, u.barrid, u.beta, CASE WHEN {known} THEN u.p END AS p, u.alpha, {load}
 FROM (SELECT date, barrid, beta, p, CASE WHEN p IS NOT NULL THEN alpha END AS alpha FROM w50_u) u
 LEFT JOIN fx_exposures e ON e.date = u.date AND e.barrid = u.barrid"""
     sides = ["1e0", "beta", "alpha"]
@@ -448,7 +449,7 @@ rank_bins("d4_kept", "d2")
 
 # Studies ------------------------------------------------------------------------------
 
-SPAN = "date BETWEEN DATE '1992-01-01' AND DATE '1998-12-31'"
+SPAN = "date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'"
 SHORT = "date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'"
 
 CTES["x1_d"] = f"""
@@ -471,6 +472,12 @@ SELECT date, barrid, ret AS r, illiq FROM x2
 WHERE price_lag > 1 AND {NO_POSINF.format("illiq")}"""
 value_bins("x2_kept", "x2_b")
 series("x2_b", "x2_series", target=True)
+cumulative("x2_series", "x2_curve")
+CTES["x2p_kept"] = f"""
+SELECT date, barrid, ret AS r, illiq FROM x2
+WHERE price_lag > 5 AND {NO_POSINF.format("illiq")}"""
+value_bins("x2p_kept", "x2p_b")
+series("x2p_b", "x2p_series", target=True)
 CTES["x_factors"] = f"SELECT * FROM fx_factors WHERE {SPAN}"
 regression("x2_series", "x2_reg", "x_factors")
 least_squares("x2_reg", "x2_fit", THREE, "bin")
@@ -494,10 +501,11 @@ SELECT date, barrid, ret AS r, illiq FROM x3
 WHERE price_lag > 5 AND {NO_POSINF.format("illiq")}"""
 value_bins("x3_kept", "x3_b")
 series("x3_b", "x3_series", target=True)
+cumulative("x3_series", "x3_curve")
 regression("x3_series", "x3_reg", "x_factors")
 least_squares("x3_reg", "x3_fit", FIVE, "bin")
 
-CTES["x4_src"] = f"SELECT * FROM uni WHERE {SHORT}"
+CTES["x4_src"] = f"SELECT * FROM uni WHERE {SPAN}"
 rolling("x4_src", "x4")
 scored("x4", "x4_sc", "illiq", "illiq IS NOT NULL")
 mvo("x4_sc", "x4_w", "50e0")
@@ -568,6 +576,22 @@ def weights_of(name: str, digits: int = 9) -> str:
     return f"SELECT date, barrid, {r('w', digits, 'weight')} FROM {name}"
 
 
+def stats_of(kept: str, digits: int = 9) -> str:
+    parts = {"mean": "avg(illiq)", "std": "stddev_samp(illiq)", "min": "min(illiq)"}
+    parts |= {f"q{q}": f"quantile_cont(illiq, 0.{q})" for q in (25, 50, 75)}
+    parts["max"] = "max(illiq)"
+    return f"SELECT {', '.join(r(v, digits, k) for k, v in parts.items())} FROM {kept}"
+
+
+def histogram_of(kept: str) -> str:
+    return f"""
+SELECT b.bin, {r('lo + (hi - lo)/50*b.bin', 8, 'lo')}, {r('lo + (hi - lo)/50*(b.bin + 1)', 8, 'hi')},
+  (SELECT count(*) FROM {kept}
+   WHERE least(49, CAST(floor((illiq - lo)*50/(hi - lo)) AS BIGINT)) = b.bin) AS "count"
+FROM (SELECT unnest(range(50)) AS bin) b
+JOIN (SELECT min(illiq) AS lo, max(illiq) AS hi FROM {kept}) ON true"""
+
+
 YEAR = "CAST(year(date) AS INTEGER) AS year"
 
 
@@ -633,17 +657,8 @@ WHERE USSLOWL_PROFIT IS NOT NULL AND USSLOWL_EARNQLTY IS NOT NULL""",
         "quantile_bins": "SELECT date, barrid, bin FROM binned",
         "rank_quantile_bins": "SELECT date, permno, bin FROM d2",
         "zscore_by_date": f"SELECT date, barrid, {r('score', 8)} FROM sc",
-        "signal_stats": f"""
-SELECT {r('avg(illiq)', 9, 'mean')}, {r('stddev_samp(illiq)', 9, 'std')},
-  {r('min(illiq)', 9, 'min')}, {r('quantile_cont(illiq, 0.25)', 9, 'q25')},
-  {r('quantile_cont(illiq, 0.5)', 9, 'q50')}, {r('quantile_cont(illiq, 0.75)', 9, 'q75')},
-  {r('max(illiq)', 9, 'max')} FROM kept""",
-        "histogram": f"""
-SELECT b.bin, {r('lo + (hi - lo)/50*b.bin', 8, 'lo')}, {r('lo + (hi - lo)/50*(b.bin + 1)', 8, 'hi')},
-  (SELECT count(*) FROM kept
-   WHERE least(49, CAST(floor((illiq - lo)*50/(hi - lo)) AS BIGINT)) = b.bin) AS "count"
-FROM (SELECT unnest(range(50)) AS bin) b
-JOIN (SELECT min(illiq) AS lo, max(illiq) AS hi FROM kept) ON true""",
+        "signal_stats": stats_of("kept"),
+        "histogram": histogram_of("kept"),
         "bin_returns": f"""
 SELECT date, bin, {r('avg(r)', 9, 'return')} FROM binned GROUP BY date, bin""",
         "spread_returns": f"SELECT date, bin, {r('r', 9, 'return')} FROM raw_series",
@@ -679,15 +694,24 @@ SELECT date, {r('coalesce(sum(f*w), 0)', 9, 'return')}
 FROM w50 LEFT JOIN fwd USING (date, barrid) GROUP BY date""",
         "multi_signal_weights": f"""
 SELECT date, barrid, {r('w', 11, 'weight')}, signal FROM stored WHERE {SHORT}""",
+        "performance_summary_rounded": summary("ret_series", "bin", 252, 4),
         "study_monthly_quantile": summary("x1_series", "bin", 12),
         "study_monthly_quantile_curve": filled_curve("x1_curve"),
         "study_daily_quantile": summary("x2_series", "bin", 252),
         "study_daily_quantile_regression": fit_table("x2_fit", THREE),
+        "study_daily_quantile_stats": stats_of("x2_kept"),
+        "study_daily_quantile_histogram": histogram_of("x2_kept"),
+        "study_daily_quantile_curve": f"SELECT date, bin, {r('c', 7, 'cumulative_return')} FROM x2_curve",
+        "study_daily_quantile_price5": summary("x2p_series", "bin", 252),
+        "study_exposure_quantile_stats": stats_of("x3_kept"),
+        "study_exposure_quantile_histogram": histogram_of("x3_kept"),
+        "study_exposure_quantile_curve": f"SELECT date, bin, {r('c', 7, 'cumulative_return')} FROM x3_curve",
         "study_exposure_quantile": summary("x3_series", "bin", 252),
         "study_exposure_quantile_regression": fit_table("x3_fit", FIVE),
         "study_illiq_backtest": weights_of("x4_w"),
         "study_monthly_illiq_backtest": weights_of("x5_w", 12),
         "study_monthly_illiq_backtest_ic": coefficients("x5_sc", "x5_fwd", "x5_ic", True),
+        "study_monthly_illiq_backtest_ic_pearson": coefficients("x5_sc", "x5_fwd", "x5_icp", False),
         "study_mvo_report": f"SELECT date, {r('c', 7, 'cumulative_return')} FROM x6_curve",
         "study_mvo_report_summary": summary("x6_series", "", 252),
         "study_mvo_report_regression": fit_rows("x6_fit", ""),

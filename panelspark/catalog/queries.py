@@ -1,6 +1,6 @@
 """One runnable query per operator and study, over the panels derived from the given tables.
 
-Every query reads whole tables. Results are rounded at the edge so that two engines that add
+Every query reads whole tables, but for those of loaders, which read a date range. Results are rounded at the edge so that two engines that add
 floats in different orders agree.
 """
 
@@ -32,8 +32,8 @@ from panelspark.sources import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Study windows inside the span of the supplied tables.
-START, END = dt.date(1992, 1, 1), dt.date(1998, 12, 31)
+# The studies span the supplied tables; loaders, whose feature is a date range, cut a part.
+START, END = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 SHORT_START, SHORT_END = dt.date(1995, 1, 1), dt.date(1997, 12, 31)
 # An asset has about 6.5 rows a month here, so a 15-day minimum would keep nothing.
 MIN_DAYS = 5
@@ -332,6 +332,10 @@ def q_performance_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ps.performance_summary(_targeted(spark, sf), "bin"), 8)
 
 
+def q_performance_summary_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ps.performance_summary(_targeted(spark, sf), "bin", digits=4), 4)
+
+
 def q_performance_summary_overall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ps.performance_summary(_targeted(spark, sf)), 8)
 
@@ -427,7 +431,7 @@ def q_multi_signal_weights(spark: SparkSession, sf: str) -> DataFrame:
 # Studies -----------------------------------------------------------------------------
 
 
-def _daily_study(spark: SparkSession, sf: str) -> plans.QuantileStudy:
+def _daily_study(spark: SparkSession, sf: str, **options) -> plans.QuantileStudy:
     return plans.study_daily_quantile(
         spark,
         frame(spark, sf, "fx_market_daily"),
@@ -435,6 +439,7 @@ def _daily_study(spark: SparkSession, sf: str) -> plans.QuantileStudy:
         START,
         END,
         strict=False,
+        **options,
     )
 
 
@@ -473,6 +478,34 @@ def q_study_daily_quantile_regression(spark: SparkSession, sf: str) -> DataFrame
     return rounded(_daily_study(spark, sf).regression_table, 7)
 
 
+def q_study_daily_quantile_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_daily_study(spark, sf).stats)
+
+
+def q_study_daily_quantile_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_daily_study(spark, sf).histogram, 8)
+
+
+def q_study_daily_quantile_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_daily_study(spark, sf).cumulative, 7)
+
+
+def q_study_daily_quantile_price5(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_daily_study(spark, sf, price_filter=5.0).summary, 8)
+
+
+def q_study_exposure_quantile_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_exposure_study(spark, sf).stats)
+
+
+def q_study_exposure_quantile_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_exposure_study(spark, sf).histogram, 8)
+
+
+def q_study_exposure_quantile_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_exposure_study(spark, sf).cumulative, 7)
+
+
 def q_study_exposure_quantile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_exposure_study(spark, sf).summary, 8)
 
@@ -483,7 +516,7 @@ def q_study_exposure_quantile_regression(spark: SparkSession, sf: str) -> DataFr
 
 def q_study_illiq_backtest(spark: SparkSession, sf: str) -> DataFrame:
     study = plans.study_illiq_backtest(
-        spark, frame(spark, sf, "fx_assets"), SHORT_START, SHORT_END
+        spark, frame(spark, sf, "fx_assets"), START, END
     )
     return rounded(study.weights())
 
@@ -501,6 +534,10 @@ def q_study_monthly_illiq_backtest_ic(spark: SparkSession, sf: str) -> DataFrame
     return rounded(_monthly_backtest(spark, sf).information_coefficients(), 8)
 
 
+def q_study_monthly_illiq_backtest_ic_pearson(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_monthly_backtest(spark, sf).information_coefficients("pearson"), 8)
+
+
 def _report(spark: SparkSession, sf: str) -> plans.WeightsReport:
     path = new_path(spark, "weights")
     write_weights(ps.mvo_weights(_alphas(spark, sf)), path, "illiq", 50.0)

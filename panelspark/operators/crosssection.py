@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import ieee_div
 from panelspark.operators import ordering
 from panelspark.operators.windows import join_dated
+from panelspark.sources.staging import stage
 
 
 def _count_true(conditions: Sequence[Column]) -> Column:
@@ -35,11 +36,14 @@ def quantile_bins(
 
     Breaks are the linear-interpolated k/n quantiles of the group; labels are "0".."n-1" and
     NULL for a NULL value. ``strict`` raises when two breaks of a group coincide, which any
-    one-row group does. ``tiebreak`` (default: all other columns) only spreads equal values
-    over tasks; the labels do not depend on it.
+    one-row group does. Rows with a NULL ``by`` are a group. ``tiebreak`` (default: a hash of
+    all other columns) only spreads equal values over tasks; the labels do not depend on it.
+    Rows are staged; only group, value and tie-break are sorted.
     """
-    tiebreak = _other_columns(df, [by, col]) if tiebreak is None else list(tiebreak)
-    laid = ordering.lay_out(df, [by], col, tiebreak)
+    rows = stage(df)
+    ties = _other_columns(df, [by, col]) if tiebreak is None else list(tiebreak)
+    narrow = rows.select(by, col, F.xxhash64(*ties).alias("_tie")) if ties else rows.select(by, col)
+    laid = ordering.lay_out(narrow, [by], col, ["_tie"] if ties else [], staged=True)
     names = [f"_q{k}" for k in range(1, n)]
     breaks = (
         ordering.with_ranks(laid, [by], col)
@@ -54,7 +58,7 @@ def quantile_bins(
         )
     label = _count_true([F.col(col) > F.col(q) for q in names])
     return (
-        join_dated(laid, breaks, date=by)
+        join_dated(rows, breaks, date=by)
         .withColumn(name, F.when(F.col(col).isNotNull(), label))
         .select(*df.columns, name)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import full_window, null_cumsum, safe_corr
@@ -10,6 +10,10 @@ from panelspark.operators.ordering import average_ranks
 from panelspark.operators.windows import series_window
 
 
+def _counts(column: str) -> Column:
+    return F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+
+
 def information_coefficients(
     alphas: DataFrame,
     rets: DataFrame,
@@ -21,14 +25,14 @@ def information_coefficients(
     """Per-date correlation of alpha and forward return: date, n_assets, ic and two trails.
 
     ``method="pearson"`` correlates the values, ``"rank"`` their ranks inside the date with
-    ties averaged. Pairs with a NULL side do not count; a constant side gives a NULL ic.
+    ties averaged. Pairs with a NULL or NaN side do not count; a constant side gives a NULL ic.
     ``ic_mean`` is the mean over the last ``window`` dates (NULL until all are there) and
     ``ic_cumulative`` the running sum.
     """
     pairs = (
         alphas.select("date", key, "alpha")
         .join(rets.select("date", key, ret), ["date", key])
-        .where(F.col("alpha").isNotNull() & F.col(ret).isNotNull())
+        .where(_counts("alpha") & _counts(ret))
     )
     left, right = "alpha", ret
     if method == "rank":

@@ -9,6 +9,8 @@ row expression over the joined-back multipliers.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import is_finite
 from panelspark.operators.windows import join_dated
+from panelspark.sources.staging import stage
 
 ZERO_BETA = "ZeroBeta"
 ZERO_INVESTMENT = "ZeroInvestment"
@@ -99,11 +102,21 @@ def _date_solver(k: int, invest: bool, beta: bool):
             f = np.stack(frame["_f"]).reshape(count, k, k)
             v = np.stack(frame["_v"]).reshape(count, 3, k).transpose(0, 2, 1)
             plain = np.stack(frame["_d"]).reshape(count, 3, 3)
-            y = f @ np.linalg.solve(np.eye(k) + m @ f, v)
+            system = np.eye(k) + m @ f
+            try:
+                y = f @ np.linalg.solve(system, v)
+            except np.linalg.LinAlgError:
+                # Only the singular dates of the batch go without weights.
+                y = np.full(v.shape, np.nan)
+                for i in range(count):
+                    try:
+                        y[i] = f[i] @ np.linalg.solve(system[i], v[i])
+                    except np.linalg.LinAlgError:
+                        pass
             inner = plain - v.transpose(0, 2, 1) @ y
             a, b, c = inner[:, 0, 0], inner[:, 0, 1], inner[:, 1, 1]
             p, q = inner[:, 0, 2], inner[:, 1, 2]
-            sound = frame["_n"].to_numpy() >= 1 + invest + beta
+            sound = (frame["_n"].to_numpy() >= 1 + invest + beta) & np.isfinite(y).all(axis=(1, 2))
             l1, l2 = np.zeros(count), np.zeros(count)
             with np.errstate(divide="ignore", invalid="ignore"):
                 if invest and beta:
@@ -123,6 +136,15 @@ def _date_solver(k: int, invest: bool, beta: bool):
     return solve
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def _factor(
     rows: DataFrame,
     exposures: DataFrame,
@@ -134,12 +156,14 @@ def _factor(
 ) -> DataFrame:
     factors = [c for c in exposures.columns if c not in ("date", key)]
     k = len(factors)
-    rows = (
-        rows.join(exposures, ["date", key], "left")
-        .fillna(0.0, factors)
-        .withColumn("_w", F.when(_usable(), _precision()))
+    known = reduce(and_, [is_finite(F.col(_quoted(c))) for c in factors], F.lit(True))
+    # Sums and rows both read the join, so it runs once and is staged.
+    rows = stage(
+        rows.join(exposures, ["date", key], "left").withColumn(
+            "_w", F.when(_usable() & F.coalesce(known, F.lit(False)), _precision())
+        )
     )
-    load = [f"`{c}`" for c in factors]
+    load = [_quoted(c) for c in factors]
     sides = ["1D", "predicted_beta", "alpha"]
 
     def products(left: Sequence[str], right: Sequence[str], name: str) -> str:
@@ -155,8 +179,9 @@ def _factor(
     )
 
     def covariance(one: str, other: str) -> str:
-        pair = f"factor_1 = '{one}' AND factor_2 = '{other}'"
-        flipped = f"factor_1 = '{other}' AND factor_2 = '{one}'"
+        one, other = _literal(one), _literal(other)
+        pair = f"factor_1 = {one} AND factor_2 = {other}"
+        flipped = f"factor_1 = {other} AND factor_2 = {one}"
         return f"coalesce(max(covariance) FILTER (WHERE {pair} OR {flipped}), 0D)"
 
     cells = [covariance(one, other) for one in factors for other in factors]
@@ -184,7 +209,9 @@ def mvo_weights(
     ``alphas`` has date, ``key``, alpha, predicted_beta, specific_risk. ``risk="diagonal"``
     uses specific variance alone; ``"factor"`` adds exposures times factor covariances
     (``covariances``: date, factor_1, factor_2, covariance; one triangle is enough).
-    Rows without finite inputs get a NULL weight and do not enter the sums, and so do all rows
+    Rows without finite inputs, with factor risk also rows without a finite exposure to each
+    factor, get a NULL weight and do not enter the sums, and so do all rows of a date without
+    covariances or with singular ones and all rows
     of a date that is too small for its constraints or degenerate. An unknown constraint is
     a KeyError. Reads ``alphas`` twice (sums, then rows).
     """

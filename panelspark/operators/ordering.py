@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.operators.windows import join_null_safe
 from panelspark.sources.staging import stage
 
 RANK = "_rank"
@@ -26,12 +27,20 @@ _PIECE_BITS = 33  # monotonically_increasing_id keeps the partition number above
 
 
 def lay_out(
-    df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequence[str] = ()
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    tiebreak: Sequence[str] = (),
+    staged: bool = False,
 ) -> DataFrame:
     """Stage ``df`` sorted by (``by``, ``value``, ``tiebreak``) with each row's position.
 
-    NULL values go last in their group. ``tiebreak`` should make the order total.
+    NULL values go last in their group. ``tiebreak`` should make the order total. Range
+    partitioning samples its input before it reads it, so ``df`` is staged first and runs
+    once; ``staged`` says that it is a scan already.
     """
+    if not staged:
+        df = stage(df)
     order = [F.col(c) for c in by] + [F.col(value).asc_nulls_last()]
     order += [F.col(c) for c in tiebreak]
     return stage(
@@ -61,8 +70,7 @@ def with_ranks(laid: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         # One row per (date, partition it touches): at most partitions + dates.
         offsets = F.broadcast(offsets)
     return (
-        laid.withColumn(_PIECE, piece)
-        .join(offsets, [*by, _PIECE])
+        join_null_safe(laid.withColumn(_PIECE, piece), offsets, [*by, _PIECE])
         .withColumn(
             RANK, F.when(F.col(value).isNotNull(), F.col(_SLOT) + F.col("_shift"))
         )
@@ -103,7 +111,7 @@ def average_ranks(
         .select(*by, value, ((F.col("_low") + F.col("_high")) / 2).alias("_shared"))
     )
     return (
-        ranked.join(ties, [*by, value], "left")
+        join_null_safe(ranked, ties, [*by, value], "left")
         .withColumn(name, F.coalesce("_shared", F.col(RANK).cast("double")))
         .drop("_shared", RANK, SIZE, _SLOT)
     )

@@ -36,7 +36,7 @@ def regression_frame(
 ) -> DataFrame:
     """Returns with their date's factors and excess return, all in percent."""
     joined = (
-        join_dated(returns, factors, "left")
+        join_dated(returns, factors, "left", aggregated=False)
         .where(F.col("return").isNotNull())
         .withColumn("return_rf", F.col("return") - F.col("rf"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
@@ -15,14 +16,12 @@ from panelspark.functions.numeric import (
     ieee_div,
     ieee_log1p,
     is_finite,
-    null_cumsum,
     product1,
 )
 from panelspark.operators.windows import asset_window, long_rolling
 
-# Longest history the exponential mean accepts. Its running sums grow by
-# 1 / (1 - alpha) per row, and a double overflows past this many growth factors.
-_EXPONENT_LIMIT = 700.0
+# Decay over one block of the exponential mean, as a natural logarithm: 1e-100.
+_BLOCK_DECAY = 230.0
 
 
 def illiq_monthly_market(df: DataFrame, key: str = "permno") -> DataFrame:
@@ -99,34 +98,52 @@ def illiq_monthly_panel(df: DataFrame, key: str = "barrid") -> DataFrame:
 def _ewm_mean(df: DataFrame, value: str, key: str, span: int, rows: int) -> DataFrame:
     """Replace ``value`` by its bias-adjusted exponential mean, NULL before ``rows`` values.
 
-    The decayed weights of a row are those of the series start times a common factor, so both
-    the weighted sum and the weight total are running sums and the factor cancels.
+    The history is cut into blocks and rows are weighed relative to their block's end, so no
+    exponent exceeds a block's decay, ``_BLOCK_DECAY`` in natural logarithms. A row adds the
+    running sums of its block to those of the blocks before, decayed; from the fourth block back
+    the decay is below the smallest double. A non-finite value stays in the mean for good.
     """
     window = asset_window(key)
-    growth = (span + 1.0) / (span - 1.0)
-    position = F.row_number().over(window)
     frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.log(F.lit(growth)) * F.col("_row")
+    step = math.log((span + 1.0) / (span - 1.0)) if span > 1 else float(_BLOCK_DECAY)
+    length = max(1, int(_BLOCK_DECAY / step))
+    inside = Window.partitionBy(key, "_block").orderBy("date")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    usable = is_finite(F.col(value))
+    df = (
+        df.withColumn("_row", F.row_number().over(window) - 1)
+        .withColumn("_block", F.floor(F.col("_row") / length))
+        .withColumn("_spot", F.col("_row") % length)
+        .withColumn("_weight", F.when(usable, F.exp((F.col("_spot") - (length - 1)) * step)))
+        .withColumn("_weighted", F.col(value) * F.col("_weight"))
+    )
+
+    def total(column: str) -> Column:
+        scale = F.exp((F.lit(length - 1) - F.col("_spot")) * step)
+        out = F.coalesce(F.sum(column).over(inside), F.lit(0.0)) * scale
+        for back in (1, 2, 3):
+            block = Window.partitionBy(key).orderBy("_block").rangeBetween(-back, -back)
+            decay = F.exp(-(F.col("_spot") + 1 + (back - 1) * length) * step)
+            out = out + F.coalesce(F.sum(column).over(block), F.lit(0.0)) * decay
+        return out
+
     return (
-        df.withColumn("_row", position)
-        .withColumn(
-            "_weight",
-            F.when(
-                step > _EXPONENT_LIMIT,
-                F.raise_error(F.lit("history is too long for this exponential span")),
-            ).when(F.col(value).isNotNull(), F.exp(step)),
-        )
-        .withColumns(
+        df.withColumns(
             {
-                "_weighted": null_cumsum(F.col(value) * F.col("_weight"), window),
-                "_total": null_cumsum("_weight", window),
+                "_top": total("_weighted"),
+                "_bottom": total("_weight"),
+                "_odd": F.sum(F.when(~usable, F.col(value))).over(frame),
                 "_seen": F.count(value).over(frame),
             }
         )
         .withColumn(
-            value, F.when(F.col("_seen") >= rows, F.col("_weighted") / F.col("_total"))
+            value,
+            F.when(
+                F.col(value).isNotNull() & (F.col("_seen") >= rows),
+                F.coalesce("_odd", ieee_div(F.col("_top"), "_bottom")),
+            ),
         )
-        .drop("_row", "_weight", "_weighted", "_total", "_seen")
+        .drop("_row", "_block", "_spot", "_weight", "_weighted", "_top", "_bottom", "_odd", "_seen")
     )
 
 

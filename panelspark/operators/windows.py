@@ -40,11 +40,28 @@ def broadcast_dated(df: DataFrame, date: str = "date") -> DataFrame:
     return df
 
 
+def join_null_safe(
+    rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join in which NULL keys meet; the key columns of ``rows`` stay."""
+    renamed = other.withColumnsRenamed({c: f"_{c}_other" for c in on})
+    same = [rows[c].eqNullSafe(renamed[f"_{c}_other"]) for c in on]
+    return rows.join(renamed, same, how).drop(*[f"_{c}_other" for c in on])
+
+
 def join_dated(
-    rows: DataFrame, dated: DataFrame, how: str = "inner", date: str = "date"
+    rows: DataFrame,
+    dated: DataFrame,
+    how: str = "inner",
+    date: str = "date",
+    aggregated: bool = True,
 ) -> DataFrame:
-    """Attach per-date values to rows without shuffling the rows."""
-    return rows.join(broadcast_dated(dated, date), date, how)
+    """Attach per-date values to rows, NULL dates included, without shuffling the rows.
+
+    Only frames the library itself reduced to one row per date are ``aggregated`` and get the
+    broadcast hint; a caller's table is left to the optimizer's measured size.
+    """
+    return join_null_safe(rows, broadcast_dated(dated, date) if aggregated else dated, [date], how)
 
 
 def long_rolling(

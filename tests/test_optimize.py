@@ -76,7 +76,8 @@ def test_factor_risk_solves_the_full_system(spark):
         ).toPandas()
         pdf = pd.DataFrame(rows, columns=["date", "barrid", "alpha", "beta", "risk"])
         known = pd.DataFrame(loads, columns=["date", "barrid", *names])
-        pdf = pdf.merge(known, on=["date", "barrid"], how="left").fillna(0.0)
+        assert got[got.barrid == "a002"].weight.isna().all()
+        pdf = pdf.merge(known, on=["date", "barrid"])
         pdf = pdf.merge(got, on=["date", "barrid"])
         for date, g in pdf.groupby("date"):
             x = g[names].to_numpy()
