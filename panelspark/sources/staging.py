@@ -46,10 +46,13 @@ def new_path(spark: SparkSession, prefix: str = "copy") -> str:
     return path
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once, now, and return a frame that scans the written copy."""
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once, now, and return a frame that scans the written copy.
+
+    A ``path`` from ``new_path``, taken before a scope, lets the copy outlive that scope.
+    """
     spark = df.sparkSession
-    path = new_path(spark)
+    path = path or new_path(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
