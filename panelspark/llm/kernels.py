@@ -178,7 +178,7 @@ def hash_sequence(hashes: np.ndarray) -> np.uint64:
 
 
 def by_size(
-    batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20
+    batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds at most ``most_bytes`` of text, or a single row."""
     for batch in batches:

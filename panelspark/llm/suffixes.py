@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import key_id, key_type, keyed_texts
 from panelspark.llm.kernels import U64, RangeHash, Texts, by_size, mix, over_texts, signed, take
-from panelspark.sources import stage
+from panelspark.sources import new_path, scope, stage
 
 _FIELD = 12
 _LOW = U64((1 << 32) - 1)
@@ -94,6 +94,13 @@ def repeated_spans(keyed: DataFrame, threshold: int = 100) -> DataFrame:
     """
     if not 4 <= threshold <= 1 << _FIELD:
         raise ValueError(f"threshold must lie in 4..{1 << _FIELD}")
+    spark = keyed.sparkSession
+    path = new_path(spark, "spans")
+    with scope(spark):
+        return stage(_spans(keyed, threshold), path)
+
+
+def _spans(keyed: DataFrame, threshold: int) -> DataFrame:
     gram = max(2, threshold // 4)
     kind = key_type(keyed)
 
@@ -126,7 +133,7 @@ def repeated_spans(keyed: DataFrame, threshold: int = 100) -> DataFrame:
     mask = (1 << _FIELD) - 1
     start = F.shiftright("place", 2 * _FIELD)
     windows = F.shiftright("place", _FIELD).bitwiseAND(F.lit(mask)) + 1
-    whole_runs = copies.select("key", start.alias("start"), (start + windows - 1 + threshold).alias("end"))
+    whole_runs = stage(copies.select("key", start.alias("start"), (start + windows - 1 + threshold).alias("end")))
 
     contexts = stage(_contexts(keyed, classes.where("mixed").select("first.*"), threshold))
     return whole_runs.unionByName(_repeated_windows(contexts, threshold, gram))
