@@ -42,7 +42,7 @@ from panelspark.llm.kernels import (
     signed,
     take,
 )
-from panelspark.sources import stage
+from panelspark.sources import new_path, scope, stage
 
 # Counters of the frequency sketch: 2**22 of 16 bits, 8 MB in a task, 0.5 MB of flags sent out.
 _COUNTERS = 1 << 22
@@ -357,6 +357,45 @@ def _hub_labels(links: DataFrame, jumps: int = 2) -> DataFrame:
     return up
 
 
+def _live_postings(docs: DataFrame, flags: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """The postings of signatures that several nodes have; the others are deleted."""
+    path = new_path(docs.sparkSession, "live")
+    with scope(docs.sparkSession):
+        postings = stage(_postings(docs, flags, shingle, percent))
+        groups = postings.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
+        return stage(postings.join(groups, "sign").distinct(), path)
+
+
+def _labels(
+    source: DataFrame, members: DataFrame, flags: np.ndarray, shingle: int, percent: int, hubs: bool
+) -> DataFrame:
+    """(node, label): the component of every node that links with another."""
+    live = _live_postings(source, flags, shingle, percent)
+    nodes = live.select("node").distinct()
+    keys = members.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("size").alias("size"))
+    texts = stage(
+        source.select("text_key", "text")
+        .join(keys, "text_key")
+        .dropDuplicates(["node"])
+        .select("node", "size", "text")
+        .mapInArrow(
+            lambda batches: _bitmaps(batches, shingle), "node bigint, size bigint, bits binary, text string"
+        )
+    )
+    verifier = _Verifier(texts, shingle, percent)
+
+    labelled = live.withColumn("label", F.col("node"))
+    links = None
+    if hubs:
+        links = stage(verifier.links(_hub_pairs(labelled, percent)))
+        labelled = live.join(_hub_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    path = new_path(source.sparkSession, "candidates")
+    with scope(source.sparkSession):
+        candidates = stage(verifier.filtered(_crossing_pairs(labelled, percent)), path)
+    found = verifier.links(candidates)
+    return connected_components(found if links is None else found.unionByName(links))
+
+
 def jaccard_components(
     docs: DataFrame,
     shingle: int = 5,
@@ -389,32 +428,9 @@ def jaccard_components(
     total = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     flags = _frequent_flags(spark, scanned.where("chunk IS NOT NULL").select("chunk", "counts"), total)
 
-    postings = stage(_postings(source, flags, shingle, percent))
-    groups = postings.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
-    live = stage(postings.join(groups, "sign").distinct())
-
-    nodes = live.select("node").distinct()
-    keys = members.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("size").alias("size"))
-    texts = stage(
-        source.select("text_key", "text")
-        .join(keys, "text_key")
-        .dropDuplicates(["node"])
-        .select("node", "size", "text")
-        .mapInArrow(
-            lambda batches: _bitmaps(batches, shingle), "node bigint, size bigint, bits binary, text string"
-        )
-    )
-    verifier = _Verifier(texts, shingle, percent)
-
-    labelled = live.withColumn("label", F.col("node"))
-    links = None
-    if hubs:
-        links = stage(verifier.links(_hub_pairs(labelled, percent)))
-        labels = _hub_labels(links)
-        labelled = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    candidates = stage(verifier.filtered(_crossing_pairs(labelled, percent)))
-    found = verifier.links(candidates)
-    labels = stage(connected_components(found if links is None else found.unionByName(links)))
+    path = new_path(spark, "labels")
+    with scope(spark):
+        labels = stage(_labels(source, members, flags, shingle, percent, hubs), path)
 
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
