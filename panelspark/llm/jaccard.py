@@ -16,7 +16,7 @@ most slack = n - ceil(n * percent / 100). That gives prefixes under a global tok
 
 Candidates that share a signature are verified on their whole texts. A group of near copies
 would be quadratic in pairs, so hubs come first: each node is verified only against the group
-member of smallest salted hash with which it shares most signatures, and links join
+hub (its most central node) with which it shares most signatures, and links join
 components. After that just the pairs that still cross components are formed, past a
 size filter and a parity-bitmap filter (an upper bound, so nothing is lost), and verified.
 Components are therefore exactly those of all links.
@@ -303,11 +303,16 @@ def _fits(percent: int, one: str, two: str):
 def _hub_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node with the group hub it shares most signatures with.
 
-    Hubs have a smaller salted hash than their nodes, so following them ends.
+    A hub is the most central node of its group: the one whose signatures are shared most often
+    for its size, by salted hash among equals. The text that near copies were made from comes
+    first, though two copies may be too far from each other to link. Hubs rank before their
+    nodes, so following them ends.
     """
-    rank = F.struct(F.xxhash64("node", F.lit(1)).alias("rank"), "node", "size", "label")
+    central = live.groupBy("node").agg(F.expr("-(1000 * sum(n) div first(size))").alias("distance"))
+    rank = F.struct("distance", F.xxhash64("node", F.lit(1)).alias("rank"), "node", "size", "label")
     hubs = (
-        live.groupBy("sign")
+        live.join(central, "node")
+        .groupBy("sign")
         .agg(F.min(rank).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low < high")
         .select("sign", "hub")
@@ -330,7 +335,7 @@ def _crossing_pairs(live: DataFrame, percent: int) -> DataFrame:
     same signature just before, the pair has come up there, so it is left out here.
     """
     mixed = live.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rest = live.join(mixed.where("low < high").select("sign"), "sign").withColumn(
+    rest = live.drop("n").join(mixed.where("low < high").select("sign"), "sign").withColumn(
         "before", F.lag("sign").over(Window.partitionBy("node").orderBy("sign"))
     )
     rest = stage(rest)
@@ -358,11 +363,11 @@ def _hub_labels(links: DataFrame, jumps: int = 2) -> DataFrame:
 
 
 def _live_postings(docs: DataFrame, flags: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """The postings of signatures that several nodes have; the others are deleted."""
+    """The postings of signatures that are found more than once, with that number (n); the others are deleted."""
     path = new_path(docs.sparkSession, "live")
     with scope(docs.sparkSession):
         postings = stage(_postings(docs, flags, shingle, percent))
-        groups = postings.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
+        groups = postings.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         return stage(postings.join(groups, "sign").distinct(), path)
 
 
