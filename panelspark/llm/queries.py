@@ -13,8 +13,11 @@ from panelspark.llm.language import identify_languages
 from panelspark.llm.mixing import mix_sources
 from panelspark.llm.neighbours import nearest_neighbours
 from panelspark.llm.packing import pack_by_length, word_count
+from panelspark.llm.page_text import page_texts
+from panelspark.llm.prefix_trie import rebuilt_prefixes
 from panelspark.llm.quality import quality_rules
 from panelspark.llm.quotes import link_quotes
+from panelspark.llm.repair import damage, repair_report
 from panelspark.llm.secret_scan import BASE_RULES, find_secrets, found_of, told
 from panelspark.llm.suffixes import remove_repeated_passages
 from panelspark.llm.toxicity import score_toxicity
@@ -82,6 +85,18 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify_languages(_table(spark, sf, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_report(damage(_table(spark, sf, "conversations")))
+
+
+def op12_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return page_texts(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return rebuilt_prefixes(_table(spark, sf, "conversations"))
+
+
 def corpus_queries() -> dict[str, Query]:
     """Each operator's query by name."""
     chosen = (
@@ -95,6 +110,9 @@ def corpus_queries() -> dict[str, Query]:
         op8_quote_links,
         op9_toxicity,
         op10_language_id,
+        op11_structure_repair,
+        op12_page_text,
+        op13_prefix_trie,
     )
     return {query.__name__: query for query in chosen}
 

@@ -6,6 +6,9 @@ from panelspark.llm.mixing import LARGEST_MEAN
 from panelspark.llm.quality import FENCES, WINDOW
 from panelspark.llm.secret_scan import BASE_RULES, RULES
 
+# Fixed value: the reversed polynomial of CRC-32.
+CRC_POLYNOMIAL = 3988292384
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -120,9 +123,61 @@ FROM docs LEFT JOIN found USING (rid)
 """
 
 
+def _trie() -> str:
+    return f"""
+WITH RECURSIVE step(n, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor({CRC_POLYNOMIAL}, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY n) AS codes FROM step WHERE k = 8),
+own AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS item,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
+  FROM conversations
+),
+convs AS (
+  SELECT conv_id, list(item ORDER BY place) AS items,
+    coalesce(xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(1, 1 + length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+      lambda a, b: xor(a >> 8, codes[1 + (xor(a, b) & 255)])), 4294967295) % 9, 0) AS h
+  FROM own, crc GROUP BY conv_id, codes
+),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.items, [])[1:c.h] || c.items[c.h + 1:] AS items
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5
+),
+reached AS (
+  SELECT conv_id, d AS depth, items[1:d] AS head, d = len(items) AS ended
+  FROM rebuilt, unnest(range(0, len(items) + 1)) t(d)
+),
+nodes AS (
+  SELECT depth, head, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(head[depth].text)) END AS own
+  FROM reached GROUP BY depth, head
+),
+tops AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.head AS up
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.head = n.head[1:n.depth - 1]
+),
+children AS (SELECT up AS head, count(*) AS n_children FROM tops WHERE up IS NOT NULL GROUP BY up),
+full_nodes AS (
+  SELECT t.*, coalesce(c.n_children, 0) AS n_children FROM tops t LEFT JOIN children c ON c.head = t.head
+),
+below AS (
+  SELECT n.head[1:d] AS head, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved_tokens
+  FROM full_nodes n, unnest(range(0, n.depth + 1)) t(d) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON b.head = n.head
+"""
+
+
 def all_statements() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality(),
         "op6_source_mix": _mix(),
         "op7_secret_scan": _secrets(),
+        "op13_prefix_trie": _trie(),
     }
