@@ -381,7 +381,8 @@ def test_languages_of_held_out_documents(docs):
 def test_queries_match_their_statements(spark, name):
     df = queries.corpus_queries()[name](spark, TINY)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{TINY}/documents.parquet'")
+    for given in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {given} AS SELECT * FROM '{TINY}/{given}.parquet'")
     want = con.sql(queries.corpus_statements()[name])
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
