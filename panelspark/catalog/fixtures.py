@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.sources.staging import stage
 
+INDUSTRIES = 60
+_HELD = ",\n  ".join(f"CASE WHEN CAST(barrid AS INT)%{INDUSTRIES}={i} THEN 1e0 ELSE 0e0 END AS IND{i}" for i in range(INDUSTRIES))
+_NUMBERS = ", ".join(f"({i})" for i in range(INDUSTRIES))
+
 BODIES = {
     "fx_cells": """
 SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS date,
@@ -68,6 +72,18 @@ UNION ALL SELECT date, 'USSLOWL_EARNQLTY', 'USSLOWL_VALUE', 1e4*mkt_rf*hml FROM
 UNION ALL SELECT date, 'USSLOWL_PROFIT', 'USSLOWL_PROFIT', 1e4*smb*smb+9e0 FROM {fx_factors}
 UNION ALL SELECT date, 'USSLOWL_PROFIT', 'USSLOWL_VALUE', 1e4*smb*hml FROM {fx_factors}
 UNION ALL SELECT date, 'USSLOWL_VALUE', 'USSLOWL_VALUE', 1e4*hml*hml+1e0 FROM {fx_factors}""",
+    # Our definition: every asset has one of sixty industries besides its three styles.
+    "fx_industries": f"""
+SELECT date, barrid, USSLOWL_EARNQLTY, USSLOWL_PROFIT, USSLOWL_VALUE,
+  {_HELD}
+FROM {{fx_exposures}}""",
+    # Our definition: matrices on the first factor date of a month, industries with a variance.
+    "fx_month_starts": """
+SELECT MIN(date) AS date FROM {fx_factors} GROUP BY date_trunc('month', date)""",
+    "fx_covariances_monthly": f"""
+SELECT c.date, factor_1, factor_2, covariance FROM {{fx_covariances}} c JOIN {{fx_month_starts}} m ON m.date = c.date
+UNION ALL SELECT date, CONCAT('IND', CAST(i AS STRING)), CONCAT('IND', CAST(i AS STRING)), 2e0 + CAST(i AS DOUBLE)/3e1
+FROM {{fx_month_starts}} CROSS JOIN (VALUES {_NUMBERS}) AS v(i)""",
 }
 
 DEPENDS = {
@@ -77,6 +93,9 @@ DEPENDS = {
     "fx_exposures": ["fx_cells"],
     "fx_factors": ["orders"],
     "fx_covariances": ["fx_factors"],
+    "fx_industries": ["fx_exposures"],
+    "fx_month_starts": ["fx_factors"],
+    "fx_covariances_monthly": ["fx_covariances", "fx_month_starts"],
 }
 
 

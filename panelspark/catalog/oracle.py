@@ -358,6 +358,15 @@ LEFT JOIN fx_exposures e ON e.date = u.date AND e.barrid = u.barrid"""
         for j in range(3)
     ]
     CTES["fr_f"] = f"SELECT date, {', '.join(f)} FROM fx_covariances GROUP BY date"
+    factor_multipliers("fr")
+    pull = " + ".join(f"x{i}*(y{i}_2 - l1*y{i}_0 - l2*y{i}_1)" for i in range(3))
+    CTES["w_factor"] = f"""
+SELECT u.date, u.barrid, (alpha - l1 - l2*beta - ({pull}))*p/50e0 AS w
+FROM fr_u u LEFT JOIN fr_l l ON l.date = u.date"""
+
+
+def factor_multipliers(name: str) -> None:
+    """Register ``{name}_l`` with l1, l2 and y, from the sums ``{name}_s`` and matrices ``{name}_f``."""
     system = []
     for i in range(3):
         for j in range(3):
@@ -368,33 +377,82 @@ LEFT JOIN fx_exposures e ON e.date = u.date AND e.barrid = u.barrid"""
     carried += [f"d{i}_{t}" for i in range(3) for t in range(3)]
     carried += [f"f{i}_{t}" for i in range(3) for t in range(3)]
     keep = f"date, n, {', '.join(carried)}"
-    CTES["fr_a"] = f"SELECT {keep}, {', '.join(system)} FROM fr_s JOIN fr_f USING (date)"
-    gauss_jordan("fr_a", "fr_z", 3, 6, keep)
+    CTES[f"{name}_a"] = f"SELECT {keep}, {', '.join(system)} FROM {name}_s JOIN {name}_f USING (date)"
+    gauss_jordan(f"{name}_a", f"{name}_z", 3, 6, keep)
     y = [
         " + ".join(f"f{i}_{k}*a{k}_{3 + t}" for k in range(3)) + f" AS y{i}_{t}"
         for i in range(3)
         for t in range(3)
     ]
-    CTES["fr_y"] = f"SELECT {keep}, {', '.join(y)} FROM fr_z"
+    CTES[f"{name}_y"] = f"SELECT {keep}, {', '.join(y)} FROM {name}_z"
 
     def inner(s: int, t: int) -> str:
         return f"(d{s}_{t} - (" + " + ".join(f"v{i}_{s}*y{i}_{t}" for i in range(3)) + "))"
 
-    CTES["fr_i"] = f"""
+    CTES[f"{name}_i"] = f"""
 SELECT *, {inner(0, 0)} AS sa, {inner(0, 1)} AS sb, {inner(1, 1)} AS sc, {inner(0, 2)} AS sp,
-  {inner(1, 2)} AS sq FROM fr_y"""
-    CTES["fr_l"] = """
+  {inner(1, 2)} AS sq FROM {name}_y"""
+    CTES[f"{name}_l"] = f"""
 SELECT *, (sc*sp - sb*sq)/(sa*sc - sb*sb) AS l1, (sa*sq - sb*sp)/(sa*sc - sb*sb) AS l2
-FROM fr_i WHERE n >= 3 AND sa*sc - sb*sb > sa*sc*1e-12"""
-    pull = " + ".join(f"x{i}*(y{i}_2 - l1*y{i}_0 - l2*y{i}_1)" for i in range(3))
-    CTES["w_factor"] = f"""
-SELECT u.date, u.barrid, (alpha - l1 - l2*beta - ({pull}))*p/50e0 AS w
-FROM fr_u u LEFT JOIN fr_l l ON l.date = u.date"""
+FROM {name}_i WHERE n >= 3 AND sa*sc - sb*sb > sa*sc*1e-12"""
 
 
 factor_risk()
 
 
+def industry_risk() -> None:
+    """Register ``w_industry``: weights under the three styles and sixty industries.
+
+    Every asset has one industry, and industries covary with nothing, so their part of the risk
+    is inverted industry by industry; what is left is the solve for three factors.
+    """
+    CTES["ir_u"] = "SELECT *, CAST(barrid AS INT)%60 AS ind FROM fr_u"
+    vectors = {"o": "1e0", "b": "beta", "a": "alpha", "x0": "x0", "x1": "x1", "x2": "x2"}
+    sums = ", ".join(f"sum(p*{v}) AS s_{u}" for u, v in vectors.items())
+    # The last matrix on or before the date; industries have a variance by number.
+    CTES["ir_d"] = """
+SELECT d.date, max(m.date) AS found FROM (SELECT DISTINCT date FROM ir_u) d
+JOIN (SELECT DISTINCT date FROM fx_covariances_monthly) m ON m.date <= d.date GROUP BY d.date"""
+    CTES["ir_g"] = f"SELECT date, ind, {sums} FROM ir_u WHERE p IS NOT NULL GROUP BY date, ind"
+    CTES["ir_h"] = """
+SELECT g.*, covariance/1e4/(1e0 + covariance/1e4*s_o) AS h
+FROM ir_g g JOIN ir_d d USING (date) JOIN fx_covariances_monthly c
+  ON c.date = d.found AND c.factor_1 = CONCAT('IND', CAST(ind AS STRING)) AND c.factor_2 = c.factor_1"""
+
+    def product(u: str, v: str, name: str) -> tuple[str, str]:
+        left = f"coalesce(sum(p*{vectors[u]}*{vectors[v]}), 0) AS {name}"
+        return left, f"coalesce(sum(h*s_{u}*s_{v}), 0) AS {name}"
+
+    x, sides = ["x0", "x1", "x2"], ["o", "b", "a"]
+    cells = [product(x[i], x[j], f"m{i}_{j}") for i in range(3) for j in range(3)]
+    cells += [product(x[i], s, f"v{i}_{t}") for i in range(3) for t, s in enumerate(sides)]
+    cells += [product(sides[i], sides[j], f"d{i}_{j}") for i in range(3) for j in range(3)]
+    names = [left.rsplit(" ", 1)[1] for left, _ in cells]
+    CTES["ir_p"] = f"SELECT date, count(p) AS n, {', '.join(c[0] for c in cells)} FROM ir_u GROUP BY date"
+    CTES["ir_c"] = f"SELECT date, {', '.join(c[1] for c in cells)} FROM ir_h GROUP BY date"
+    less = ", ".join(f"p.{c} - c.{c} AS {c}" for c in names)
+    CTES["ir_s"] = f"SELECT p.date, p.n, {less} FROM ir_p p JOIN ir_c c USING (date)"
+    styles = ["USSLOWL_EARNQLTY", "USSLOWL_PROFIT", "USSLOWL_VALUE"]
+    f = [
+        f"max(covariance) FILTER (WHERE factor_1 = '{styles[min(i, j)]}' "
+        f"AND factor_2 = '{styles[max(i, j)]}')/1e4 AS f{i}_{j}"
+        for i in range(3)
+        for j in range(3)
+    ]
+    CTES["ir_f"] = f"""
+SELECT d.date, {', '.join(f)} FROM ir_d d JOIN fx_covariances_monthly c ON c.date = d.found GROUP BY d.date"""
+    factor_multipliers("ir")
+    pulls = [f"(y{i}_2 - l1*y{i}_0 - l2*y{i}_1)" for i in range(3)]
+    own = " - ".join(["alpha - l1 - l2*beta", *(f"x{i}*{pulls[i]}" for i in range(3))])
+    all_of = " - ".join(["s_a - l1*s_o - l2*s_b", *(f"s_x{i}*{pulls[i]}" for i in range(3))])
+    CTES["w_industry"] = f"""
+SELECT u.date, u.barrid, (({own}) - h*({all_of}))*p/50e0 AS w
+FROM ir_u u LEFT JOIN ir_l l ON l.date = u.date LEFT JOIN ir_h h ON h.date = u.date AND h.ind = u.ind"""
+
+
+industry_risk()
+
+
 # Monthly signals ----------------------------------------------------------------------
 
 CTES["mkt_d"] = """
@@ -687,6 +745,21 @@ SELECT date, barrid, {r('f*100e0', 9, 'forward_return')} FROM fwd WHERE f IS NOT
         "mvo_weights_zero_investment": weights_of("w_invest"),
         "mvo_weights_unconstrained": weights_of("w_free"),
         "mvo_weights_factor_risk": weights_of("w_factor"),
+        "mvo_weights_industry_risk": weights_of("w_industry"),
+        "load_covariances": """
+SELECT date, factor_1, factor_2, round(covariance, 9) + 0e0 AS covariance FROM fx_covariances_monthly
+WHERE date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""",
+        "covariance_report": """
+SELECT date, n_factors, n_missing, n_factors = 3 AND e*(p*v - pv*pv) - ep*(ep*v - pv*ev) + ev*(ep*pv - p*ev) > 0
+  AND e*p - ep*ep > 0 AND e > 0 AS positive_definite, round(asymmetry, 9) + 0e0 AS asymmetry, asymmetry = 0 AS symmetric
+FROM (SELECT date, 3 AS n_factors, 3*2 - count(covariance) AS n_missing, 0e0 AS asymmetry,
+  max(covariance) FILTER (WHERE factor_1 LIKE '%EARNQLTY' AND factor_2 LIKE '%EARNQLTY') AS e,
+  max(covariance) FILTER (WHERE factor_1 LIKE '%PROFIT' AND factor_2 LIKE '%PROFIT') AS p,
+  max(covariance) FILTER (WHERE factor_1 LIKE '%VALUE' AND factor_2 LIKE '%VALUE') AS v,
+  max(covariance) FILTER (WHERE factor_1 LIKE '%EARNQLTY' AND factor_2 LIKE '%PROFIT') AS ep,
+  max(covariance) FILTER (WHERE factor_1 LIKE '%EARNQLTY' AND factor_2 LIKE '%VALUE') AS ev,
+  max(covariance) FILTER (WHERE factor_1 LIKE '%PROFIT' AND factor_2 LIKE '%VALUE') AS pv
+  FROM fx_covariances GROUP BY date)""",
         "backtest_by_year": f"""
 SELECT date, barrid, {r('w', 9, 'weight')}, 'illiq' AS signal, 50e0 AS gamma, {YEAR} FROM w50""",
         "portfolio_returns": f"""

@@ -20,6 +20,7 @@ from panelspark.catalog.fixtures import frame
 from panelspark.functions import illiq_daily, market_cap
 from panelspark.sources import (
     load_assets,
+    load_covariances,
     load_exposures,
     load_factors,
     load_market_daily,
@@ -410,6 +411,27 @@ def q_mvo_weights_factor_risk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_mvo_weights_industry_risk(spark: SparkSession, sf: str) -> DataFrame:
+    covariances = load_covariances(spark, frame(spark, sf, "fx_covariances_monthly"))
+    return rounded(
+        ps.mvo_weights(
+            _alphas(spark, sf),
+            risk="factor",
+            exposures=frame(spark, sf, "fx_industries"),
+            covariances=covariances.withColumn("covariance", F.col("covariance") / 1e4),
+            as_of=True,
+        )
+    )
+
+
+def q_load_covariances(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(load_covariances(spark, frame(spark, sf, "fx_covariances_monthly"), SHORT_START, SHORT_END))
+
+
+def q_covariance_report(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ps.covariance_report(frame(spark, sf, "fx_covariances")).drop("least_eigenvalue"))
+
+
 def q_backtest_by_year(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "backtest")
     return rounded(ps.backtest_by_year(_alphas(spark, sf), path=path, signal="illiq"))

@@ -1,4 +1,5 @@
 from panelspark.operators.backtest import alphas, backtest_by_year, multi_signal_weights
+from panelspark.operators.covariance import as_of_join, check_covariances, covariance_report
 from panelspark.operators.crosssection import quantile_bins, rank_quantile_bins, zscore_by_date
 from panelspark.operators.ic import information_coefficients
 from panelspark.operators.optimize import ZERO_BETA, ZERO_INVESTMENT, mvo_weights
@@ -42,9 +43,12 @@ __all__ = [
     "ZERO_BETA",
     "ZERO_INVESTMENT",
     "alphas",
+    "as_of_join",
     "backtest_by_year",
     "bin_returns",
+    "check_covariances",
     "composite_exposure_signal",
+    "covariance_report",
     "cumulative_log_return",
     "cumulative_wide_ffill",
     "exchange_filter",

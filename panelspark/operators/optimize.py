@@ -8,16 +8,13 @@ row expression over the joined-back multipliers.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import is_finite
+from panelspark.operators.covariance import as_of_join, packed_covariances
 from panelspark.operators.windows import join_dated
 from panelspark.sources.staging import stage
 
@@ -85,64 +82,126 @@ def _diagonal(rows: DataFrame, invest: bool, beta: bool, gamma: float) -> DataFr
     )
 
 
-def _date_solver(k: int, invest: bool, beta: bool):
-    """Per-date k x k solves over already aggregated rows, a batch of dates at a time.
+# Pieces that one date's cross-section is dealt into, so that a hot date is summed by many tasks.
+_PIECES = 16
+# What stands before the factor loadings in a row's vector.
+_SIDES = ["1D", "predicted_beta", "alpha"]
 
-    With M = X'D^-1 X and V = X'D^-1 [1, beta, alpha], the low-rank part of the inverse risk
-    matrix acts as F (I + M F)^-1 V, which needs no inverse of F. The returned function is
-    self-contained, so executors need numpy and pandas but not this package.
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def cross_products(rows: DataFrame, vector: str, weight: str, key: str) -> DataFrame:
+    """(date, n, sums): per date and piece of it the weighted cross products of ``vector``.
+
+    ``vector`` is an array column of one length m, never null; rows without a ``weight`` are left
+    out. sums is the upper triangle of ``sum(weight * vector' vector)`` row by row, m(m+1)/2
+    doubles, so the plan has one expression whatever m is. Rows are dealt by date and a hash of
+    ``key``, sorted by date, and summed over Arrow batches one date at a time: a task holds one
+    triangle, and a date leaves at most 16 of them.
     """
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            count = len(frame)
-            if not count:
+    def accumulate(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        upper, open_date, count, total = None, None, 0, None
+
+        def closed():
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([open_date], pa.date32()),
+                    pa.array([count], pa.int64()),
+                    pa.array([total[upper]], pa.list_(pa.float64())),
+                ],
+                ["date", "n", "sums"],
+            )
+
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
                 continue
-            m = np.stack(frame["_m"]).reshape(count, k, k)
-            f = np.stack(frame["_f"]).reshape(count, k, k)
-            v = np.stack(frame["_v"]).reshape(count, 3, k).transpose(0, 2, 1)
-            plain = np.stack(frame["_d"]).reshape(count, 3, 3)
-            system = np.eye(k) + m @ f
-            try:
-                y = f @ np.linalg.solve(system, v)
-            except np.linalg.LinAlgError:
-                # Only the singular dates of the batch go without weights.
-                y = np.full(v.shape, np.nan)
-                for i in range(count):
-                    try:
-                        y[i] = f[i] @ np.linalg.solve(system[i], v[i])
-                    except np.linalg.LinAlgError:
-                        pass
-            inner = plain - v.transpose(0, 2, 1) @ y
-            a, b, c = inner[:, 0, 0], inner[:, 0, 1], inner[:, 1, 1]
-            p, q = inner[:, 0, 2], inner[:, 1, 2]
-            sound = (frame["_n"].to_numpy() >= 1 + invest + beta) & np.isfinite(y).all(axis=(1, 2))
-            l1, l2 = np.zeros(count), np.zeros(count)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                if invest and beta:
-                    det = a * c - b * b
-                    sound &= det > a * c * _DEGENERATE
-                    l1, l2 = (c * p - b * q) / det, (a * q - b * p) / det
-                elif invest:
-                    l1 = p / a
-                elif beta:
-                    sound &= c > 0.0
-                    l2 = q / c
-            pull = y[:, :, 2] - l1[:, None] * y[:, :, 0] - l2[:, None] * y[:, :, 1]
-            yield pd.DataFrame(
-                {"date": frame["date"], "_l1": l1, "_l2": l2, "_pull": list(pull)}
-            )[sound]
-
-    return solve
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            scaled = z * batch.column("w").to_numpy(zero_copy_only=False)[:, None]
+            days = batch.column("date").cast(pa.int32()).to_numpy()
+            edges = np.flatnonzero(np.diff(days)) + 1
+            if upper is None:
+                upper = np.triu_indices(z.shape[1])
+            for start, stop in zip([0, *edges], [*edges, rows], strict=True):
+                day = batch.column("date")[int(start)].as_py()
+                if open_date is not None and day != open_date:
+                    yield closed()
+                    count, total = 0, None
+                part = scaled[start:stop].T @ z[start:stop]
+                open_date, count = day, count + int(stop - start)
+                total = part if total is None else total + part
+        if open_date is not None:
+            yield closed()
+
+    piece = F.pmod(F.xxhash64(key), F.lit(_PIECES))
+    return (
+        rows.where(F.col(weight).isNotNull() & F.col("date").isNotNull())
+        .select("date", F.col(vector).alias("z"), F.col(weight).alias("w"), piece.alias("_piece"))
+        .repartition("date", "_piece")
+        .sortWithinPartitions("date")
+        .select("date", "z", "w")
+        .mapInArrow(accumulate, "date date, n bigint, sums array<double>")
+    )
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def _date_solver(k: int, invest: bool, beta: bool):
+    """The multipliers and factor pulls of one date, from its cross products and its matrix.
 
+    With M = X'D^-1 X and V = X'D^-1 [1, beta, alpha], the low-rank part of the inverse risk
+    matrix acts as F (I + M F)^-1 V, which needs no inverse of F. The returned function is
+    self-contained, so executors need numpy and pandas but not this package.
+    """
+    names = ["date", "_l1", "_l2", "_pull"]
+
+    def solve(sums, risk):
+        import numpy as np
+        import pandas as pd
+
+        nothing = pd.DataFrame({c: pd.Series(dtype=object) for c in names})
+        if not len(sums) or not len(risk):
+            return nothing
+        count = int(sums["n"].sum())
+        if count < 1 + invest + beta:
+            return nothing
+        full = np.zeros((k + 3, k + 3))
+        full[np.triu_indices(k + 3)] = np.sum(np.stack(sums["sums"].tolist()), axis=0)
+        full = full + np.triu(full, 1).T
+        f = np.zeros(k * k)
+        f[np.asarray(risk["slots"].iloc[0], dtype=int)] = risk["cells"].iloc[0]
+        f = f.reshape(k, k)
+        f = f + np.triu(f, 1).T
+        m, v, plain = full[3:, 3:], full[3:, :3], full[:3, :3]
+        try:
+            y = f @ np.linalg.solve(np.eye(k) + m @ f, v)
+        except np.linalg.LinAlgError:
+            return nothing
+        inner = plain - v.T @ y
+        a, b, c, p, q = inner[0, 0], inner[0, 1], inner[1, 1], inner[0, 2], inner[1, 2]
+        l1 = l2 = 0.0
+        sound = np.isfinite(y).all()
+        if invest and beta:
+            det = a * c - b * b
+            sound &= det > a * c * _DEGENERATE
+            if sound:
+                l1, l2 = (c * p - b * q) / det, (a * q - b * p) / det
+        elif invest:
+            l1 = p / a
+        elif beta:
+            sound &= c > 0.0
+            if sound:
+                l2 = q / c
+        if not sound:
+            return nothing
+        pull = y[:, 2] - l1 * y[:, 0] - l2 * y[:, 1]
+        return pd.DataFrame({"date": [sums["date"].iloc[0]], "_l1": [l1], "_l2": [l2], "_pull": [pull]})
 
-def _literal(text: str) -> str:
-    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{escaped}'"
+    return solve
 
 
 def _factor(
@@ -153,45 +212,35 @@ def _factor(
     invest: bool,
     beta: bool,
     gamma: float,
+    as_of: bool,
 ) -> DataFrame:
     factors = [c for c in exposures.columns if c not in ("date", key)]
-    k = len(factors)
-    known = reduce(and_, [is_finite(F.col(_quoted(c))) for c in factors], F.lit(True))
+    loads = F.expr(f"array({', '.join(f'CAST({_quoted(c)} AS DOUBLE)' for c in factors)})")
+    # One expression over the array, whatever the number of factors.
+    known = F.forall("_x", lambda x: F.coalesce(is_finite(x), F.lit(False)))
     # Sums and rows both read the join, so it runs once and is staged.
     rows = stage(
-        rows.join(exposures, ["date", key], "left").withColumn(
+        rows.join(exposures.select("date", key, loads.alias("_x")), ["date", key], "left").withColumn(
             "_w", F.when(_usable() & F.coalesce(known, F.lit(False)), _precision())
         )
     )
-    load = [_quoted(c) for c in factors]
-    sides = ["1D", "predicted_beta", "alpha"]
-
-    def products(left: Sequence[str], right: Sequence[str], name: str) -> str:
-        """Array of weighted cross products, 0 on a date without usable rows."""
-        cells = [f"coalesce(sum(_w * {x} * {y}), 0D)" for x in left for y in right]
-        return f"array({', '.join(cells)}) AS {name}"
-
-    sums = rows.groupBy("date").agg(
-        F.count("_w").alias("_n"),
-        F.expr(products(load, load, "_m")),
-        F.expr(products(sides, load, "_v")),
-        F.expr(products(sides, sides, "_d")),
+    vector = F.concat(F.expr(f"array({', '.join(_SIDES)})"), "_x")
+    sums = cross_products(rows.withColumn("_z", vector), "_z", "_w", key)
+    risk = packed_covariances(covariances, factors)
+    if as_of:
+        days = rows.where("_w IS NOT NULL").select("date").distinct()
+        risk = as_of_join(days, risk)
+    solved = (
+        sums.groupBy("date")
+        .cogroup(risk.groupBy("date"))
+        .applyInPandas(
+            _date_solver(len(factors), invest, beta), "date date, _l1 double, _l2 double, _pull array<double>"
+        )
     )
-
-    def covariance(one: str, other: str) -> str:
-        one, other = _literal(one), _literal(other)
-        pair = f"factor_1 = {one} AND factor_2 = {other}"
-        flipped = f"factor_1 = {other} AND factor_2 = {one}"
-        return f"coalesce(max(covariance) FILTER (WHERE {pair} OR {flipped}), 0D)"
-
-    cells = [covariance(one, other) for one in factors for other in factors]
-    risk = covariances.groupBy("date").agg(F.expr(f"array({', '.join(cells)}) AS _f"))
-    solved = sums.join(risk, "date").mapInPandas(
-        _date_solver(k, invest, beta),
-        "date date, _l1 double, _l2 double, _pull array<double>",
+    pulled = F.aggregate(
+        F.zip_with("_x", "_pull", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x
     )
-    pulled = " + ".join(f"{x} * _pull[{i}]" for i, x in enumerate(load))
-    tilt = F.expr(f"(alpha - _l1 - _l2 * predicted_beta - ({pulled})) * _w")
+    tilt = (F.col("alpha") - F.col("_l1") - F.col("_l2") * F.col("predicted_beta") - pulled) * F.col("_w")
     return join_dated(rows, solved, "left").withColumn("weight", tilt / float(gamma))
 
 
@@ -203,12 +252,14 @@ def mvo_weights(
     exposures: DataFrame | None = None,
     covariances: DataFrame | None = None,
     key: str = "barrid",
+    as_of: bool = False,
 ) -> DataFrame:
     """(date, asset, weight) for every row of ``alphas``.
 
     ``alphas`` has date, ``key``, alpha, predicted_beta, specific_risk. ``risk="diagonal"``
     uses specific variance alone; ``"factor"`` adds exposures times factor covariances
-    (``covariances``: date, factor_1, factor_2, covariance; one triangle is enough).
+    (``covariances``: date, factor_1, factor_2, covariance; one triangle is enough). With
+    ``as_of`` a date takes the last matrix on or before it, else only one of its own day.
     Rows without finite inputs, with factor risk also rows without a finite exposure to each
     factor, get a NULL weight and do not enter the sums, and so do all rows of a date without
     covariances or with singular ones and all rows
@@ -222,7 +273,7 @@ def mvo_weights(
     elif risk == "factor":
         if exposures is None or covariances is None:
             raise ValueError("factor risk needs exposures and covariances")
-        out = _factor(rows, exposures, covariances, key, invest, beta, gamma)
+        out = _factor(rows, exposures, covariances, key, invest, beta, gamma, as_of)
     else:
         raise ValueError(f"risk must be 'diagonal' or 'factor', not {risk!r}")
     return out.select("date", key, "weight")

@@ -1,6 +1,7 @@
 from panelspark.sources.contracts import ContractError, check_contract
 from panelspark.sources.loaders import (
     load_assets,
+    load_covariances,
     load_exposures,
     load_factors,
     load_market_daily,
@@ -13,6 +14,7 @@ __all__ = [
     "ContractError",
     "check_contract",
     "load_assets",
+    "load_covariances",
     "load_exposures",
     "load_factors",
     "load_market_daily",

@@ -101,6 +101,25 @@ def load_factors(
     return _load(spark, source, contracts.FACTORS, start, end, None)
 
 
+def load_covariances(
+    spark: SparkSession,
+    source: Source,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    factors: Sequence[str] | None = None,
+) -> DataFrame:
+    """Factor covariances in long form (date, factor_1, factor_2, covariance), both dates inclusive.
+
+    ``factors`` keeps the pairs among these. For the last matrix on or before a date, let
+    ``start`` reach back far enough and pass ``as_of=True`` to ``mvo_weights``.
+    """
+    out = _load(spark, source, contracts.COVARIANCES, start, end, contracts.COVARIANCES.names)
+    if factors is not None:
+        names = list(factors)
+        out = out.where(F.col("factor_1").isin(names) & F.col("factor_2").isin(names))
+    return out
+
+
 def _selected(selection: Mapping[str, float]) -> Column:
     chosen = F.lit(False)
     for signal, gamma in selection.items():

@@ -13,7 +13,7 @@ from panelspark.sources import stage
 from tests.conftest import TINY
 
 TABLES = ["supplier", "orders", "lineitem"]
-TYPES = {"date": "DATE", "double": "DOUBLE", "bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}
+TYPES = {"date": "DATE", "double": "DOUBLE", "bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
