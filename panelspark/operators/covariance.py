@@ -17,23 +17,6 @@ from pyspark.sql import functions as F
 from panelspark.sources.contracts import COVARIANCES, ContractError, check_contract
 
 
-def _cells(covariances: DataFrame, factors: DataFrame) -> DataFrame:
-    """(date, row, col, mirrored, covariance) with the factors' numbers, the smaller as row."""
-    one = F.broadcast(factors.select(F.col("name").alias("factor_1"), F.col("slot").alias("_i")))
-    two = F.broadcast(factors.select(F.col("name").alias("factor_2"), F.col("slot").alias("_j")))
-    return (
-        covariances.join(one, "factor_1")
-        .join(two, "factor_2")
-        .select(
-            "date",
-            F.least("_i", "_j").alias("row"),
-            F.greatest("_i", "_j").alias("col"),
-            (F.col("_i") > F.col("_j")).alias("mirrored"),
-            "covariance",
-        )
-    )
-
-
 def packed_covariances(covariances: DataFrame, factors: Sequence[str]) -> DataFrame:
     """(date, slots, cells): one row per matrix, its upper triangle as positions and values.
 
@@ -41,12 +24,14 @@ def packed_covariances(covariances: DataFrame, factors: Sequence[str]) -> DataFr
     factors are left out, absent pairs are 0. A pair given in both orders counts once, with the
     larger value: ``covariance_report`` tells whether they differ.
     """
-    spark, k = covariances.sparkSession, len(factors)
-    named = spark.createDataFrame([(c, i) for i, c in enumerate(factors)], "name string, slot int")
+    k = len(factors)
+    known = F.lit(list(factors))
+    # Null for a factor that is not among them; one expression, whatever their number.
+    one, two = (F.nullif(F.array_position(known, F.col(c)), F.lit(0)).cast("int") - 1 for c in ("factor_1", "factor_2"))
     cells = (
-        _cells(covariances, named)
-        .where("date IS NOT NULL AND covariance IS NOT NULL")
-        .groupBy("date", (F.col("row") * k + F.col("col")).alias("slot"))
+        covariances.select("date", (F.least(one, two) * k + F.greatest(one, two)).alias("slot"), "covariance", (one + two).alias("_both"))
+        .where("date IS NOT NULL AND covariance IS NOT NULL AND _both IS NOT NULL")
+        .groupBy("date", "slot")
         .agg(F.max("covariance").alias("cell"))
     )
     return cells.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("slot", "cell"))).alias("_all")).select(

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import full_window, null_cumsum, safe_corr
-from panelspark.operators.ordering import average_ranks
+from panelspark.operators.ordering import shared_ranks
 from panelspark.operators.windows import series_window
+from panelspark.sources.staging import stage
 
 
 def _counts(column: str) -> Column:
@@ -36,9 +37,8 @@ def information_coefficients(
     )
     left, right = "alpha", ret
     if method == "rank":
-        left, right = "_alpha_rank", "_ret_rank"
-        pairs = average_ranks(pairs, ["date"], "alpha", [key], left)
-        pairs = average_ranks(pairs, ["date"], ret, [key], right)
+        left, right = "rank_alpha", f"rank_{ret}"
+        pairs = shared_ranks(stage(pairs.select("date", "alpha", ret)), "date", ["alpha", ret])
     elif method != "pearson":
         raise ValueError(f"method must be 'rank' or 'pearson', not {method!r}")
     daily = pairs.groupBy("date").agg(

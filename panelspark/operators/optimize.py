@@ -99,24 +99,24 @@ def cross_products(rows: DataFrame, vector: str, weight: str, key: str) -> DataF
     out. sums is the upper triangle of ``sum(weight * vector' vector)`` row by row, m(m+1)/2
     doubles, so the plan has one expression whatever m is. Rows are dealt by date and a hash of
     ``key``, sorted by date, and summed over Arrow batches one date at a time: a task holds one
-    triangle, and a date leaves at most 16 of them.
+    triangle and four megabytes of finished ones, and a date leaves at most 16 of them.
     """
 
     def accumulate(batches):
         import numpy as np
         import pyarrow as pa
 
-        upper, open_date, count, total = None, None, 0, None
+        upper, open_day, count, total = None, None, 0, None
+        days, counts, sums = [], [], []
 
-        def closed():
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([open_date], pa.date32()),
-                    pa.array([count], pa.int64()),
-                    pa.array([total[upper]], pa.list_(pa.float64())),
-                ],
-                ["date", "n", "sums"],
-            )
+        def done():
+            made = [pa.array(days, pa.int32()).cast(pa.date32()), pa.array(counts, pa.int64())]
+            flat = np.concatenate(sums)
+            ends = np.arange(len(sums) + 1, dtype=np.int32) * (len(flat) // len(sums))
+            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            for held in (days, counts, sums):
+                held.clear()
+            return pa.RecordBatch.from_arrays(made, ["date", "n", "sums"])
 
         for batch in batches:
             rows = batch.num_rows
@@ -124,20 +124,27 @@ def cross_products(rows: DataFrame, vector: str, weight: str, key: str) -> DataF
                 continue
             z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
             scaled = z * batch.column("w").to_numpy(zero_copy_only=False)[:, None]
-            days = batch.column("date").cast(pa.int32()).to_numpy()
-            edges = np.flatnonzero(np.diff(days)) + 1
+            dates = batch.column("date").cast(pa.int32()).to_numpy()
+            edges = (np.flatnonzero(np.diff(dates)) + 1).tolist()
             if upper is None:
                 upper = np.triu_indices(z.shape[1])
             for start, stop in zip([0, *edges], [*edges, rows], strict=True):
-                day = batch.column("date")[int(start)].as_py()
-                if open_date is not None and day != open_date:
-                    yield closed()
+                day = int(dates[start])
+                if open_day is not None and day != open_day:
+                    days.append(open_day)
+                    counts.append(count)
+                    sums.append(total[upper])
                     count, total = 0, None
                 part = scaled[start:stop].T @ z[start:stop]
-                open_date, count = day, count + int(stop - start)
+                open_day, count = day, count + stop - start
                 total = part if total is None else total + part
-        if open_date is not None:
-            yield closed()
+                if len(sums) * len(upper[0]) > 1 << 19:
+                    yield done()
+        if open_day is not None:
+            days.append(open_day)
+            counts.append(count)
+            sums.append(total[upper])
+            yield done()
 
     piece = F.pmod(F.xxhash64(key), F.lit(_PIECES))
     return (
@@ -151,55 +158,84 @@ def cross_products(rows: DataFrame, vector: str, weight: str, key: str) -> DataF
 
 
 def _date_solver(k: int, invest: bool, beta: bool):
-    """The multipliers and factor pulls of one date, from its cross products and its matrix.
+    """Multipliers and factor pulls per date, from its cross products and its matrix.
 
     With M = X'D^-1 X and V = X'D^-1 [1, beta, alpha], the low-rank part of the inverse risk
-    matrix acts as F (I + M F)^-1 V, which needs no inverse of F. The returned function is
-    self-contained, so executors need numpy and pandas but not this package.
+    matrix acts as F (I + M F)^-1 V, which needs no inverse of F. A batch holds dates, one row
+    each, and is solved in slices. The returned function is self-contained, so executors need
+    numpy and pyarrow but not this package.
     """
-    names = ["date", "_l1", "_l2", "_pull"]
 
-    def solve(sums, risk):
+    def squares(flat, size):
+        """Symmetric matrices from a stack of upper triangles."""
         import numpy as np
-        import pandas as pd
-
-        nothing = pd.DataFrame({c: pd.Series(dtype=object) for c in names})
-        if not len(sums) or not len(risk):
-            return nothing
-        count = int(sums["n"].sum())
-        if count < 1 + invest + beta:
-            return nothing
-        full = np.zeros((k + 3, k + 3))
-        full[np.triu_indices(k + 3)] = np.sum(np.stack(sums["sums"].tolist()), axis=0)
-        full = full + np.triu(full, 1).T
-        f = np.zeros(k * k)
-        f[np.asarray(risk["slots"].iloc[0], dtype=int)] = risk["cells"].iloc[0]
-        f = f.reshape(k, k)
-        f = f + np.triu(f, 1).T
-        m, v, plain = full[3:, 3:], full[3:, :3], full[:3, :3]
+
+        full = np.zeros((len(flat), size, size))
+        rows, cols = np.triu_indices(size)
+        full[:, rows, cols] = flat
+        full[:, cols, rows] = flat
+        return full
+
+    def multipliers(counts, full, f):
+        import numpy as np
+
+        m, v, plain = full[:, 3:, 3:], full[:, 3:, :3], full[:, :3, :3]
+        system = np.eye(k) + m @ f
         try:
-            y = f @ np.linalg.solve(np.eye(k) + m @ f, v)
+            y = f @ np.linalg.solve(system, v)
         except np.linalg.LinAlgError:
-            return nothing
-        inner = plain - v.T @ y
-        a, b, c, p, q = inner[0, 0], inner[0, 1], inner[1, 1], inner[0, 2], inner[1, 2]
-        l1 = l2 = 0.0
-        sound = np.isfinite(y).all()
-        if invest and beta:
-            det = a * c - b * b
-            sound &= det > a * c * _DEGENERATE
-            if sound:
+            # Only the singular dates go without weights.
+            y = np.full(v.shape, np.nan)
+            for i in range(len(v)):
+                try:
+                    y[i] = f[i] @ np.linalg.solve(system[i], v[i])
+                except np.linalg.LinAlgError:
+                    pass
+        inner = plain - v.transpose(0, 2, 1) @ y
+        a, b, c = inner[:, 0, 0], inner[:, 0, 1], inner[:, 1, 1]
+        p, q = inner[:, 0, 2], inner[:, 1, 2]
+        sound = (counts >= 1 + invest + beta) & np.isfinite(y).all(axis=(1, 2))
+        l1, l2 = np.zeros(len(v)), np.zeros(len(v))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if invest and beta:
+                det = a * c - b * b
+                sound &= det > a * c * _DEGENERATE
                 l1, l2 = (c * p - b * q) / det, (a * q - b * p) / det
-        elif invest:
-            l1 = p / a
-        elif beta:
-            sound &= c > 0.0
-            if sound:
+            elif invest:
+                l1 = p / a
+            elif beta:
+                sound &= c > 0.0
                 l2 = q / c
-        if not sound:
-            return nothing
-        pull = y[:, 2] - l1 * y[:, 0] - l2 * y[:, 1]
-        return pd.DataFrame({"date": [sums["date"].iloc[0]], "_l1": [l1], "_l2": [l2], "_pull": [pull]})
+        return sound, l1, l2, y[:, :, 2] - l1[:, None] * y[:, :, 0] - l2[:, None] * y[:, :, 1]
+
+    def solve(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        width = (k + 3) * (k + 4) // 2
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                parts = batch.column("parts")
+                pieces = parts.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                first = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])[:-1]
+                f = np.zeros((batch.num_rows, k * k))
+                cells = batch.column("cells")
+                owner = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy())
+                f[owner, batch.column("slots").flatten().to_numpy()] = cells.flatten().to_numpy(zero_copy_only=False)
+                f = f.reshape(-1, k, k)
+                f = f + np.triu(f, 1).transpose(0, 2, 1)
+                full = squares(np.add.reduceat(pieces, first, axis=0), k + 3)
+                sound, l1, l2, pull = multipliers(batch.column("n").to_numpy(), full, f)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("date").filter(pa.array(sound)),
+                        pa.array(l1[sound]),
+                        pa.array(l2[sound]),
+                        pa.array(list(pull[sound]), pa.list_(pa.float64())),
+                    ],
+                    ["date", "_l1", "_l2", "_pull"],
+                )
 
     return solve
 
@@ -230,10 +266,12 @@ def _factor(
     if as_of:
         days = rows.where("_w IS NOT NULL").select("date").distinct()
         risk = as_of_join(days, risk)
+    # At most 16 triangles and a matrix per date: neither grows with the assets.
+    whole = sums.groupBy("date").agg(F.sum("n").alias("n"), F.collect_list("sums").alias("parts"))
     solved = (
-        sums.groupBy("date")
-        .cogroup(risk.groupBy("date"))
-        .applyInPandas(
+        whole.join(risk, "date")
+        .select("date", "n", "parts", "slots", "cells")
+        .mapInArrow(
             _date_solver(len(factors), invest, beta), "date date, _l1 double, _l2 double, _pull array<double>"
         )
     )

@@ -115,3 +115,47 @@ def average_ranks(
         .withColumn(name, F.coalesce("_shared", F.col(RANK).cast("double")))
         .drop("_shared", RANK, SIZE, _SLOT)
     )
+
+
+def shared_ranks(pairs: DataFrame, by: str, values: Sequence[str]) -> DataFrame:
+    """Ranks inside ``by`` of every column of ``values`` at once, equal values sharing their mean.
+
+    Adds a column ``rank_{value}`` for each; no value may be NULL or NaN. ``pairs`` should be a
+    scan. What is sorted is not the rows but how often each (group, value) occurs, counted with
+    map-side combine for all columns in one pass, so a value that a third of the rows share is
+    one row. The counts are range-partitioned by (column, group, value) and staged; a running
+    total inside each piece plus the totals of the pieces before it gives the rank. Only those
+    totals, at most pieces plus groups many, are broadcast. The ranks are joined back by
+    value, plain shuffles on both sides that adaptive execution splits at a hot value.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("_side"), F.col(v).cast("double").alias("_value")) for i, v in enumerate(values)]))
+    counts = (
+        pairs.select(by, sides.alias("_one"))
+        .select(by, "_one._side", "_one._value")
+        .groupBy("_side", by, "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    order = [F.col("_side"), F.col(by), F.col("_value")]
+    laid = stage(counts.repartitionByRange(*order).withColumn(_PIECE, F.spark_partition_id()))
+    totals = laid.groupBy("_side", by, _PIECE).agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy("_side", by).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(
+        "_side", by, _PIECE, F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_shift")
+    )
+    if isinstance(laid.schema[by].dataType, T.DateType):
+        # One row per (column, date, piece it touches): at most pieces + dates for each column.
+        shifts = F.broadcast(shifts)
+    # A piece is bounded by the partition it was, and so is its window.
+    inside = Window.partitionBy("_side", by, _PIECE).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = laid.withColumn("_upto", F.sum("_n").over(inside))
+    ranked = join_null_safe(summed, shifts, ["_side", by, _PIECE]).select(
+        "_side", by, "_value", (F.col("_shift") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank_of")
+    )
+    out = pairs
+    for i, value in enumerate(values):
+        one = ranked.where(F.col("_side") == i).select(
+            F.col(by).alias("_by"), F.col("_value").alias("_at"), F.col("_rank_of").alias(f"rank_{value}")
+        )
+        same = out[by].eqNullSafe(one["_by"]) & (out[value].cast("double") == one["_at"])
+        out = out.join(one, same).drop("_by", "_at")
+    return out

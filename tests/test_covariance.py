@@ -143,4 +143,5 @@ def test_plan_does_not_grow_with_the_square_of_the_factors(spark):
         )
         return len(df._jdf.queryExecution().optimizedPlan().toString())
 
-    assert length(60) < 1.3 * length(4)
+    # The names are listed once; products of them are not.
+    assert length(60) < 2 * length(4)

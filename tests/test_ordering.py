@@ -176,3 +176,27 @@ def test_a_supplier_with_a_third_of_all_lines_is_combined_before_the_shuffle(spa
     per_asset = cells.groupBy("asset").count().orderBy(F.desc("count")).first()
     assert per_asset["count"] <= lines.select(F.to_date("l_shipdate")).distinct().count()
     assert cells.count() == cells.select("asset", "date").distinct().count()
+
+
+def test_shared_ranks_of_hot_values_and_a_hot_date(spark, many_pieces):
+    """A third of the rows share a value, half share a date; ranks of both columns in one pass."""
+    import pandas as pd
+
+    from panelspark.operators.ordering import shared_ranks
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    pdf = pd.DataFrame(
+        {
+            "date": [day(0) if i % 2 else day(int(i) % 7) for i in range(n)],
+            "a": np.where(np.arange(n) % 3 == 0, 1.5, np.round(rng.normal(size=n), 2)),
+            "b": np.where(rng.random(n) < 0.1, -0.0, np.round(rng.normal(size=n), 1)),
+        }
+    )
+    got = shared_ranks(spark.createDataFrame(pdf), "date", ["a", "b"]).toPandas()
+    assert len(got) == n
+    for c in "ab":
+        pdf[f"rank_{c}"] = pdf.groupby("date")[c].rank()
+    columns = ["date", "a", "b", "rank_a", "rank_b"]
+    ours = sorted(map(tuple, got[columns].to_numpy().tolist()))
+    assert ours == sorted(map(tuple, pdf[columns].to_numpy().tolist()))
