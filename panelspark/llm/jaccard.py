@@ -15,11 +15,15 @@ most slack = n - ceil(n * percent / 100). That gives prefixes under a global tok
   larger set, so a set that can be similar to one on the next level signs for both levels.
 
 Candidates that share a signature are verified on their whole texts. A group of near copies
-would be quadratic in pairs, so hubs come first: each node is verified only against the group
-hub (its most central node) with which it shares most signatures, and links join
-components. After that just the pairs that still cross components are formed, past a
-size filter and a parity-bitmap filter (an upper bound, so nothing is lost), and verified.
-Components are therefore exactly those of all links.
+would be quadratic in pairs, so hubs come first: each node is measured against the group
+hub (its most central node) with which it shares most signatures, then against that one's
+hub, and links join components. What is left of a hub's nodes is compared by their differences
+from the hub: two nodes that link though one is not linked to the hub share a number of
+differences, so an index on prefixes of the difference lists finds them (the same prefix rule,
+one level down). Only pairs of nodes of different hubs, or far from their hub, that still cross
+components are formed from the signatures, past a size filter and a parity-bitmap filter (an
+upper bound, so nothing is lost), and verified. Components are therefore exactly those of all
+links.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import attach
 from panelspark.llm.graph import connected_components
 from panelspark.llm.kernels import (
     U64,
@@ -252,24 +257,55 @@ def _may_link(batches, percent):
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _both_sets(batch, shingle):
+    """(owner, hash, is text_b) of the shingles of both texts of every pair, sorted by owner and hash."""
+    ours, left = shingle_sets(Texts(batch.column("text_a")), shingle)
+    theirs, right = shingle_sets(Texts(batch.column("text_b")), shingle)
+    owner = np.concatenate([ours, theirs])
+    hashes = np.concatenate([left, right])
+    second = np.r_[np.zeros(len(ours), dtype=bool), np.ones(len(theirs), dtype=bool)]
+    order = np.lexsort((second, hashes, owner))
+    return owner[order], hashes[order], second[order]
+
+
+def _common(owner, hashes, rows):
+    twin = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
+    return twin, np.bincount(owner[1:][twin], minlength=rows)
+
+
 def _verified(batches, shingle, percent):
     """Pairs whose whole texts reach the similarity."""
     for batch in by_size(batches, "text_a", 1 << 20):
-        ours, left = shingle_sets(Texts(batch.column("text_a")), shingle)
-        theirs, right = shingle_sets(Texts(batch.column("text_b")), shingle)
-        rows = batch.num_rows
-        owner = np.concatenate([ours, theirs])
-        hashes = np.concatenate([left, right])
-        order = np.lexsort((hashes, owner))
-        owner, hashes = owner[order], hashes[order]
-        twin = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
-        common = np.bincount(owner[1:][twin], minlength=rows)
-        union = np.bincount(owner, minlength=rows) - common
+        owner, hashes, _ = _both_sets(batch, shingle)
+        _, common = _common(owner, hashes, batch.num_rows)
+        union = np.bincount(owner, minlength=batch.num_rows) - common
         linked = (union > 0) & (100 * common >= percent * union)
         if linked.any():
             yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(linked)))
 
 
+def _measured(batches, shingle):
+    """Every pair with the number of shingles that its texts have in common."""
+    for batch in by_size(batches, "text_a", 1 << 20):
+        owner, hashes, _ = _both_sets(batch, shingle)
+        _, common = _common(owner, hashes, batch.num_rows)
+        columns = [batch.column(c) for c in ("a", "b", "size_a", "size_b")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(common)], names=["a", "b", "size_a", "size_b", "common"])
+
+
+def _differences(batches, shingle):
+    """(node, hub, token): the shingles that only one of a node a and its hub b has, told apart."""
+    for batch in by_size(batches, "text_a", 1 << 20):
+        owner, hashes, second = _both_sets(batch, shingle)
+        twin, _ = _common(owner, hashes, batch.num_rows)
+        alone = ~(np.r_[False, twin] | np.r_[twin, False])
+        tokens = np.where(second, mix(hashes ^ _SALT), hashes)[alone]
+        who = owner[alone]
+        yield pa.RecordBatch.from_arrays(
+            [take(batch, "a", who), take(batch, "b", who), signed(tokens)], names=["node", "hub", "token"]
+        )
+
+
 class _Verifier:
     """Checks candidate pairs of nodes against the nodes' texts."""
 
@@ -288,6 +324,18 @@ class _Verifier:
             lambda batches: _may_link(batches, percent), "a bigint, b bigint"
         )
 
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        shingle = self.shingle
+        return self._attach(pairs.select("a", "b"), ["size", "text"]).mapInArrow(
+            lambda batches: _measured(batches, shingle), "a bigint, b bigint, size_a bigint, size_b bigint, common bigint"
+        )
+
+    def differences(self, pairs: DataFrame) -> DataFrame:
+        shingle = self.shingle
+        return self._attach(pairs.select("a", "b"), ["text"]).mapInArrow(
+            lambda batches: _differences(batches, shingle), "node bigint, hub bigint, token bigint"
+        )
+
     def links(self, pairs: DataFrame) -> DataFrame:
         shingle, percent = self.shingle, self.percent
         return self._attach(pairs.select("a", "b"), ["text"]).mapInArrow(
@@ -328,26 +376,142 @@ def _hub_pairs(live: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
 
 
+# How a node lies to its hub: linked, too far to link but near enough that a node linked to the
+# hub may link with it, or beyond that.
+_NEAR, _MID, _FAR = 0, 1, 2
+
+
+def _placed(verifier: _Verifier, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, places) of nodes and their hubs.
+
+    ``pairs`` (a, b) has one hub b per node a. Hubs that are linked with a hub of their own hand
+    their nodes on to it, so a group of near copies has one hub in the end. places (node, hub,
+    place, size, hub_size, common) has the last hub of each node; links has every pair that was
+    found to link on the way.
+    """
+    linked = F.expr(f"100 * common >= {percent} * (size_a + size_b - common)")
+    first = stage(verifier.measured(pairs))
+    above = first.where(linked).select(F.col("a").alias("top"), F.col("b").alias("next"))
+    top = first.select("a", F.col("b").alias("top"))
+    for _ in range(2):
+        top = top.join(above, "top", "left").select("a", F.coalesce("next", "top").alias("top"))
+    moved = top.join(first.select("a", "b"), "a").where("top <> b AND top <> a")
+    second = stage(verifier.measured(moved.select("a", F.col("top").alias("b"))))
+    kept = first.join(second.select("a"), "a", "left_anti").unionByName(second)
+    union = "(size_a + size_b - common)"
+    place = (
+        F.when(linked, _NEAR)
+        # The triangle inequality of Jaccard distances parts the far ones from the linked ones.
+        .when(F.expr(f"100 * common >= {2 * percent - 100} * {union}"), _MID)
+        .otherwise(_FAR)
+    )
+    places = kept.select(
+        F.col("a").alias("node"),
+        F.col("b").alias("hub"),
+        place.alias("place"),
+        F.col("size_a").alias("size"),
+        F.col("size_b").alias("hub_size"),
+        "common",
+    )
+    return first.unionByName(second).where(linked).select("a", "b"), places
+
+
+def _difference_pairs(verifier: _Verifier, places: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes of one hub that may link though one of them is not linked to it.
+
+    Seen from the hub a node is a short list of differences: shingles that it lacks and shingles
+    that it adds. Two nodes x and y with c common shingles with a hub of H have
+    c(x) + c(y) - H + (differences that both have) in common, so linking takes a least number of
+    shared differences: it is at least 1 when one node is not linked to the hub, and grows
+    with the distance to it. That bound, taken against the closest node of the other side,
+    gives each node a prefix of its differences, rarest within the hub first; nodes that may
+    link share a token of their prefixes. Thousands of copies with edits of their own share the
+    text, but not the edits, so the lists hardly meet.
+    """
+    hubs = places.where(F.col("place") == _MID)
+    # G is additive: nodes x and y need (100 + p) * H - G(x) - G(y) over 100 + p shared differences.
+    good = F.expr(f"(100 + {percent}) * common - {percent} * size")
+    best = hubs.groupBy("hub").agg(F.max(good).alias("best_mid"))
+    here = places.where(F.col("place") <= _MID).join(best, "hub").withColumn("good", good)
+
+    def need(other: str) -> Column:
+        missing = f"greatest(1, -floor((good + {other} - (100 + {percent}) * hub_size) / (100D + {percent})))"
+        return F.expr(f"hub_size + size - 2 * common - CAST({missing} AS BIGINT) + 1")
+
+    # The hub is the closest of those linked to it: its G is 100 H.
+    sized = stage(
+        here.withColumn("to_mid", need("best_mid"))
+        .withColumn("to_near", F.when(F.col("place") == _MID, need("100 * hub_size")).otherwise(F.lit(0)))
+        .where("to_mid > 0 OR to_near > 0")
+        .select("node", "hub", "place", "size", "to_mid", "to_near")
+    )
+    tokens = stage(verifier.differences(sized.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    often = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = Window.partitionBy("node").orderBy("often", "token")
+    ranked = (
+        attach(tokens, stage(often), ["hub", "token"])
+        # Tokens that one node alone has come first in its prefix and are in no other.
+        .withColumn("often", F.coalesce("often", F.lit(1)))
+        .withColumn("at", F.row_number().over(order))
+        .where("often > 1")
+        .join(sized, ["node", "hub"])
+    )
+    marked = stage(
+        ranked.select(
+            "hub", "token", "node", "size", "place", (F.col("at") <= F.col("to_mid")).alias("for_mid"), (F.col("at") <= F.col("to_near")).alias("for_near")
+        ).where("for_mid OR for_near")
+    )
+
+    def side(name: str) -> DataFrame:
+        return marked.select("hub", "token", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "place", "for_mid", "for_near")])
+
+    near = f"place_b = {_NEAR} AND for_near_a AND for_mid_b"
+    mid = f"place_b = {_MID} AND for_mid_a AND for_mid_b AND node_a < node_b"
+    return (
+        side("a").where(f"place_a = {_MID}").join(side("b").where("for_mid_b"), ["hub", "token"])
+        .where(f"({near}) OR ({mid})")
+        .where(_fits(percent, "size_a", "size_b"))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )
+
+
 def _crossing_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every pair of nodes that shares a signature and lies in two components.
+    """(a, b): the pairs that share a signature, lie in two components and are not told by a hub.
+
+    A hub tells for two of its nodes unless one is far and the other not linked to it. In each
+    signature group the largest block of nodes with one hub that are not far makes no pairs
+    with itself; only what lies outside the block meets the group.
 
     A pair that shares many signatures comes up once for each. Where both nodes also have the
     same signature just before, the pair has come up there, so it is left out here.
     """
-    mixed = live.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rest = live.drop("n").join(mixed.where("low < high").select("sign"), "sign").withColumn(
-        "before", F.lag("sign").over(Window.partitionBy("node").orderBy("sign"))
+    block = F.when(F.col("place") <= _MID, F.col("hub"))
+    mixed = live.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sign")
+    counts = live.withColumn("block", block).where("block IS NOT NULL").groupBy("sign", "block").agg(F.count(F.lit(1)).alias("held"))
+    bulk = counts.groupBy("sign").agg(F.max(F.struct("held", "block")).alias("most"))
+    groups = mixed.join(bulk, "sign", "left").select("sign", F.col("most.block").alias("bulk"))
+    rest = (
+        live.drop("n")
+        .join(groups, "sign")
+        .withColumn("outside", ~F.coalesce(block == F.col("bulk"), F.lit(False)))
+        .withColumn("before", F.lag("sign").over(Window.partitionBy("node").orderBy("sign")))
     )
     rest = stage(rest)
 
     def side(name: str) -> DataFrame:
-        return rest.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "label", "before")])
+        return rest.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "label", "hub", "place", "before", "outside")])
 
     fresh = "before_a IS NULL OR before_b IS NULL OR before_a <> before_b"
-    pairs = side("a").join(side("b"), "sign").where("node_a < node_b AND label_a <> label_b").where(fresh)
+    told = f"hub_a = hub_b AND place_a + place_b <= {2 * _MID}"
+    pairs = (
+        side("a").where("outside_a").join(side("b"), "sign")
+        .where("label_a <> label_b AND (node_a < node_b OR NOT outside_b)")
+        .where(f"NOT ({told})").where(fresh)
+    )
     return (
         pairs.where(_fits(percent, "size_a", "size_b"))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
     )
 
@@ -389,16 +553,29 @@ def _labels(
     )
     verifier = _Verifier(texts, shingle, percent)
 
+    alone = [F.col("node").alias("hub"), F.lit(_NEAR).alias("place")]
     labelled = live.withColumn("label", F.col("node"))
-    links = None
-    if hubs:
-        links = stage(verifier.links(_hub_pairs(labelled, percent)))
-        labelled = live.join(_hub_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     path = new_path(source.sparkSession, "candidates")
     with scope(source.sparkSession):
-        candidates = stage(verifier.filtered(_crossing_pairs(labelled, percent)), path)
-    found = verifier.links(candidates)
-    return connected_components(found if links is None else found.unionByName(links))
+        if hubs:
+            links, places = _placed(verifier, _hub_pairs(labelled, percent), percent)
+            places, links = stage(places), stage(links)
+            one = links.groupBy("a").agg(F.min("b").alias("b"))
+            placed = places.join(_hub_labels(one), "node", "left")
+            labelled = (
+                live.join(placed.select("node", "hub", "place", "label"), "node", "left")
+                .withColumn("label", F.coalesce("label", "node"))
+                .withColumn("hub", F.coalesce("hub", "node"))
+                .withColumn("place", F.coalesce("place", F.lit(_NEAR)))
+            )
+            told = _difference_pairs(verifier, places, percent)
+        else:
+            labelled = labelled.select("*", *alone)
+            links = told = None
+        candidates = verifier.filtered(_crossing_pairs(labelled, percent))
+        found = verifier.links(stage(candidates if told is None else candidates.unionByName(told).distinct()))
+        found = stage(found if links is None else found.unionByName(links), path)
+    return connected_components(found)
 
 
 def jaccard_components(

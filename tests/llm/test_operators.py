@@ -192,6 +192,34 @@ def test_jaccard_components(spark, monkeypatch, frequent, hubs):
     assert got == components_brute(rows)
 
 
+@pytest.mark.parametrize("seed, frequent", [(1, 2), (2, 1000)])
+def test_jaccard_components_of_drifting_copies(spark, monkeypatch, seed, frequent):
+    """Copies of copies: many link with each other only, though they have one hub or hubs in a row."""
+    monkeypatch.setattr(jaccard, "_FREQUENT", frequent)
+    found = []
+    pairs_of = jaccard._difference_pairs
+
+    def counted(*given):
+        found.append(pairs_of(*given).count())
+        return pairs_of(*given)
+
+    monkeypatch.setattr(jaccard, "_difference_pairs", counted)
+    rng = random.Random(seed)
+    texts = [[rng.choice("abcdefghijklmnop") for _ in range(90)]]
+    for i in range(260):
+        words = list(texts[0] if i % 2 else rng.choice(texts[-40:]))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", f"z{i}"])
+        if i % 9 == 0:
+            words = words[: rng.randrange(60, 90)]
+        texts.append(words)
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = components_brute(rows)
+    assert got == want
+    assert len({c for _, _, c in want}) > 3 and found[0] > 0
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     found = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
