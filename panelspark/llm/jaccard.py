@@ -578,6 +578,21 @@ def _labels(
     return connected_components(found)
 
 
+def _labelled(docs: DataFrame, shingle: int, percent: int, hubs: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, labels) of ``docs`` (doc_id, text): doc_id, text_key, node, size; node, label."""
+    spark = docs.sparkSession
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    scanned = stage(_members_and_counts(source, shingle))
+    members = scanned.where("chunk IS NULL").select("doc_id", "text_key", "node", "size")
+    total = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    flags = _frequent_flags(spark, scanned.where("chunk IS NOT NULL").select("chunk", "counts"), total)
+
+    path = new_path(spark, "labels")
+    with scope(spark):
+        labels = stage(_labels(source, members, flags, shingle, percent, hubs), path)
+    return members, labels
+
+
 def jaccard_components(
     docs: DataFrame,
     shingle: int = 5,
@@ -599,21 +614,8 @@ def jaccard_components(
     are ignored, whatever their names. An empty table gives an empty one. Runs its rounds when
     called.
     """
-    spark = docs.sparkSession
-    source = docs.select(
-        F.col(id_column).alias("doc_id"),
-        F.col(text_column).cast("string").alias("text"),
-        F.xxhash64(F.col(text_column).cast("string")).alias("text_key"),
-    )
-    scanned = stage(_members_and_counts(source, shingle))
-    members = scanned.where("chunk IS NULL").select("doc_id", "text_key", "node", "size")
-    total = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    flags = _frequent_flags(spark, scanned.where("chunk IS NOT NULL").select("chunk", "counts"), total)
-
-    path = new_path(spark, "labels")
-    with scope(spark):
-        labels = stage(_labels(source, members, flags, shingle, percent, hubs), path)
-
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    members, labels = _labelled(source, shingle, percent, hubs)
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return placed.join(smallest, "label", "left").select(
@@ -621,3 +623,33 @@ def jaccard_components(
         F.col("size").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """One row of every component of similar texts, all columns as they are; reads column text.
+
+    Components are those of ``jaccard_components``, by text: rows that share an id, or have
+    none, stay apart unless their texts are linked. The row that stays is the least by doc_id
+    (nulls last), then by the other columns in order. Rows without words are linked with
+    nothing and all stay, repeated ones too. ``docs`` should be a scan; an empty table gives an
+    empty one.
+    """
+    text = F.col("text").cast("string")
+    path = new_path(docs.sparkSession, "labels")
+    with scope(docs.sparkSession):
+        members, labels = _labelled(docs.select(F.lit(0).cast("bigint").alias("doc_id"), text.alias("text")), shingle, percent, True)
+        texts = members.where("node IS NOT NULL").select("text_key", "node").distinct()
+        keys = texts.join(labels, "node", "left").select(
+            F.col("text_key").alias("_key"), F.coalesce("label", "node").alias("_component")
+        )
+        keys = stage(keys, path)
+    keyed = docs.withColumn("_text_key", F.xxhash64(text)).join(keys, F.col("_text_key") == F.col("_key"), "left")
+    order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
+    whole = F.struct(F.col("doc_id").isNull().alias("_none"), *[F.col(f"`{c}`") for c in order])
+    first = (
+        keyed.where("_component IS NOT NULL")
+        .groupBy("_component")
+        .agg(F.min(whole).alias("_first"))
+        .select(*[F.col(f"_first.`{c}`").alias(c) for c in docs.columns])
+    )
+    return keyed.where("_component IS NULL").select(docs.columns).unionByName(first)

@@ -26,7 +26,7 @@ WINDOW = 8
 # are integers, per thousand.
 FENCES = {
     "symbols": ("n_symbols", "word_chars", True, 4, 40),
-    "repeats": ("n_repeat_words", "n_words", True, 4, 300),
+    "repeats": ("n_repeat_words", "n_words", True, 4, 150),
     "dup_lines": ("n_dup_lines", "n_words", True, 4, 100),
     "long_words": ("word_chars", "n_words", True, 4, 1500),
     "short_words": ("word_chars", "n_words", False, 4, 1000),
@@ -149,9 +149,9 @@ def _fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
 def quality_rules(docs: DataFrame, least_rows: int = 50) -> DataFrame:
     """Measures and verdict of each document: columns doc_id, lang, source, text are read.
 
-    Returns doc_id, lang, source, n_words, word_chars (code points in words), n_symbols,
+    Returns doc_id, n_words, word_chars (code points in words), n_symbols,
     n_dup_lines, n_repeat_words, base_failed (under 20 words, or over 30 % of them inside
-    repeated 8-word windows) and kept. A document is kept if it passes the base rule and every
+    repeated 8-word windows), kept, lang and source. A document is kept if it passes the base rule and every
     measure lies inside the fences of its (lang, source), or of its lang, or of all documents,
     whichever is the first with ``least_rows`` documents. Fences are learned from documents
     that pass the base rule.
@@ -161,11 +161,45 @@ def quality_rules(docs: DataFrame, least_rows: int = 50) -> DataFrame:
     an empty one. Scans the texts once, when called.
     """
     source = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    rows = stage(
-        measured(source, ["doc_id", "lang", "source"]).withColumn(
-            "base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-        )
+    rows = stage(_based(measured(source, ["doc_id", "lang", "source"])))
+    judged = _judged(rows, thresholds(rows, least_rows))
+    return judged.select("doc_id", *MEASURES, "base_failed", "kept", "lang", "source")
+
+
+def _based(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+
+
+def _judged(rows: DataFrame, fences: DataFrame) -> DataFrame:
+    """``rows`` with column kept, the fences of their (lang, source) attached."""
+    inside = F.lit(True)
+    for measure, (_, _, upper, *_) in FENCES.items():
+        rate, fence = _rate(measure), F.col(f"f_{measure}")
+        inside = inside & (rate <= fence if upper else rate >= fence)
+    return attach(rows, fences, ["lang", "source"]).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
     )
+
+
+def keep_good(docs: DataFrame, least_rows: int = 50) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, each judged by its own text, all columns as they are.
+
+    Fences are learned in one scan of the texts; a second one measures each text again and
+    judges it on the spot, so no text crosses a shuffle. ``docs`` should be a scan. Columns named
+    like a measure are refused. Other odd rows as in ``quality_rules``.
+    """
+    clash = {*MEASURES, "base_failed", "kept", *(f"f_{m}" for m in FENCES)} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are named like measures")
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    narrow = source.select(F.col("lang").cast("string"), F.col("source").cast("string"), "text")
+    fences = thresholds(_based(measured(narrow, ["lang", "source"])), least_rows)
+    judged = _judged(_based(measured(source, docs.columns)), fences)
+    return judged.where("kept").select(docs.columns)
+
+
+def thresholds(rows: DataFrame, least_rows: int) -> DataFrame:
+    """(lang, source, one fence per measure) for every group among ``rows`` that pass the base rule; reads them once."""
     sketches = stage(quality_sketches(rows))
     names = [f"f_{m}" for m in FENCES]
     cells = sketches.select("lang", "source").distinct().select("lang", "source")
@@ -188,11 +222,4 @@ def quality_rules(docs: DataFrame, least_rows: int = 50) -> DataFrame:
             .otherwise(F.col(f"{name}2"))
         )
 
-    thresholds = stage(table.select("lang", "source", *[chosen(n).alias(n) for n in names]))
-    inside = F.lit(True)
-    for measure, (_, _, upper, *_) in FENCES.items():
-        rate, fence = _rate(measure), F.col(f"f_{measure}")
-        inside = inside & (rate <= fence if upper else rate >= fence)
-    joined = attach(rows, thresholds, ["lang", "source"])
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.select("doc_id", "lang", "source", *MEASURES, "base_failed", kept.alias("kept"))
+    return stage(table.select("lang", "source", *[chosen(n).alias(n) for n in names]))

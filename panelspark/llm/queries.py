@@ -59,8 +59,7 @@ def op5_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", "source")
-    return mix_sources(docs)
+    return mix_sources(_table(spark, sf, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:

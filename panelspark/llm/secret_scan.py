@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelspark.sources import stage
 
 _MOST_STRINGS = 64
+_SPANS = "array<struct<start:int,number:int,end:int,kind:string>>"
 Clause = frozenset[frozenset[str]]
 
 
@@ -50,20 +51,18 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def _lower(code: int) -> str:
-    return chr(code).lower() if code < 128 else chr(code)
-
-
 def _choices(items) -> set[str] | None:
-    """The lower-cased characters of a small class."""
+    """The lower-cased characters of a small ASCII class.
+
+    Other characters stand in no query: what Spark's lower() makes of them is its own affair,
+    while it maps ASCII letters one by one and never puts anything between two of them.
+    """
     found: set[str] = set()
     for kind, value in items:
-        if kind is patterns.LITERAL:
-            found.add(_lower(value))
-        elif kind is patterns.RANGE and value[1] - value[0] < 4:
-            found |= {_lower(c) for c in range(value[0], value[1] + 1)}
-        else:
+        first, last = (value, value) if kind is patterns.LITERAL else value if kind is patterns.RANGE else (0, 999)
+        if last >= 128 or last - first >= 4:
             return None
+        found |= {chr(c).lower() for c in range(first, last + 1)}
     return found if len(found) <= 6 else None
 
 
@@ -73,6 +72,7 @@ class _Walk:
     def __init__(self):
         self.clauses: set[Clause] = set()
         self.ends = {""}
+        self.broken = False
 
     def append(self, strings: set[str] | None) -> None:
         if strings is None:
@@ -85,6 +85,7 @@ class _Walk:
         self.ends = longer
 
     def flush(self) -> None:
+        self.broken = True
         if all(len(s) >= 3 for s in self.ends):
             parts = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in self.ends}
             self.clauses.add(frozenset(p for p in parts if not any(q < p for q in parts)))
@@ -93,7 +94,7 @@ class _Walk:
     def visit(self, tokens) -> None:
         for kind, value in tokens:
             if kind is patterns.LITERAL:
-                self.append({_lower(value)})
+                self.append(_choices([(kind, value)]))
             elif kind is patterns.IN:
                 self.append(_choices(value))
             elif kind is patterns.SUBPATTERN:
@@ -119,10 +120,13 @@ def _union(options: list[set[str] | None]) -> set[str] | None:
 
 
 def _exact(tokens) -> set[str] | None:
-    """All strings of an expression, lower-cased, if they are few; else None."""
+    """All strings of an expression, lower-cased, if they are few; else None.
+
+    A walk that broke off anywhere only knows how the strings end, so it tells nothing.
+    """
     walk = _Walk()
     walk.visit(tokens)
-    return None if walk.clauses or (walk.ends == {""} and len(tokens)) else walk.ends
+    return None if walk.broken else walk.ends
 
 
 def trigram_query(pattern: str) -> list[Clause]:
@@ -143,52 +147,99 @@ def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     return docs.select("text_key", text.alias("lowered")).select("text_key", F.explode(present).alias("trigram"))
 
 
-def _fulfilled(query: list[Clause], held: Column) -> Column:
-    test = F.lit(True)
-    for clause in query:
-        some = F.lit(False)
-        for alternative in sorted(clause, key=sorted):
-            every = F.lit(True)
-            for trigram in sorted(alternative):
-                every = every & F.array_contains(held, trigram)
-            some = some | every
-        test = test & some
-    return test
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(text_key, kinds): the rules whose trigram query a text fulfils, texts with none left out.
 
+    The postings of each trigram are looked up in the table of alternatives that ask for it. A
+    text is in the intersection of an alternative's postings when all its trigrams were met,
+    and fulfils a rule when that holds for an alternative of every clause. The table is as long
+    as the rules are, and is broadcast.
+    """
+    spark = postings.sparkSession
+    asked = []
+    for rule in rules:
+        query = trigram_query(rule.pattern)
+        for number, clause in enumerate(query):
+            for place, alternative in enumerate(sorted(clause, key=sorted)):
+                asked += [(t, rule.kind, len(query), number, place, len(alternative)) for t in sorted(alternative)]
+    table = spark.createDataFrame(asked, "trigram string, kind string, clauses int, clause int, place int, trigrams int")
+    met = (
+        postings.join(F.broadcast(table), "trigram")
+        .groupBy("text_key", "kind", "clauses", "clause", "place", "trigrams")
+        .agg(F.collect_set("trigram").alias("met"))
+        .where(F.size("met") == F.col("trigrams"))
+    )
+    whole = (
+        met.groupBy("text_key", "kind", "clauses")
+        .agg(F.collect_set("clause").alias("met"))
+        .where(F.size("met") == F.col("clauses"))
+    )
+    return whole.groupBy("text_key").agg(F.collect_set("kind").alias("kinds"))
 
-def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(text_key, kinds): the rules whose trigram query a text fulfils, texts with none left out."""
-    asking = [(r.kind, q) for r in rules if (q := trigram_query(r.pattern))]
-    held = postings.groupBy("text_key").agg(F.collect_set("trigram").alias("held"))
-    kinds = F.array_compact(
-        F.array(*[F.when(_fulfilled(q, F.col("held")), F.lit(k)) for k, q in asking])
-    ) if asking else F.array().cast("array<string>")
-    return held.select("text_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+_BLOCK = 256
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def _places(steps: Column) -> Column:
+    """Sum of the elements before each element, by blocks, so a long array costs little more than a short one."""
+    count = F.size(steps)
+
+    def by_block(sums: Column) -> Column:
+        before = F.transform(sums, lambda _, i: _total(F.slice(sums, F.lit(1), i)))
+
+        def at(befores: Column) -> Column:
+            return F.transform(
+                steps,
+                lambda _, i: F.element_at(befores, (i / _BLOCK).cast("int") + 1)
+                + _total(F.slice(steps, (i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)),
+            )
+
+        return _let(before, at)
+
+    blocks = F.sequence(F.lit(0), ((count - 1) / _BLOCK).cast("int"))
+    return _let(F.transform(blocks, lambda b: _total(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))), by_block)
 
 
 def _spans(rule: Rule, number: int) -> Column:
     """Spans of a rule in column text: leftmost, not overlapping, in code points.
 
-    The matched strings are found in turn behind the last one. The first place of a matched
-    string there is the match itself, as the expression would also match any earlier place.
+    The text is split at the matches of the same expression, so a match lies where the pieces
+    and matches before it end, look-around included.
     """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all("text", pattern, F.lit(0))
     part = whole if rule.group == 0 else F.regexp_extract_all("text", pattern, F.lit(rule.group))
-    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
-    start = F.struct(F.lit(1).alias("at"), none.alias("spans"))
-
-    def step(state: Column, match: Column) -> Column:
-        begin = F.call_function("locate", match["whole"], F.col("text"), state["at"])
-        end = begin + F.length(match["whole"])
-        span = F.struct(
-            (begin - 1).alias("start"), F.lit(number).alias("number"), (end - 1).alias("end"), F.lit(rule.kind).alias("kind")
+    pieces = F.transform(F.split("text", pattern, -1), lambda p: F.length(p).cast("bigint"))
+    sizes = F.transform(whole, lambda m: F.length(m).cast("bigint"))
+    matches = F.arrays_zip(sizes.alias("size"), F.transform(part, F.length).alias("deep"), pieces.alias("before"))
+    # There is one piece more than matches.
+    found = F.filter(matches, lambda m: m["size"].isNotNull())
+
+    def placed(found: Column) -> Column:
+        steps = F.transform(found, lambda m: m["size"] + m["before"])
+        spans = F.transform(
+            F.arrays_zip(found.alias("m"), _let(steps, _places).alias("at")),
+            lambda x: F.struct(
+                (x["at"] + x["m"]["before"]).cast("int").alias("start"),
+                F.lit(number).alias("number"),
+                (x["at"] + x["m"]["before"] + x["m"]["size"]).cast("int").alias("end"),
+                F.lit(rule.kind).alias("kind"),
+                x["m"]["deep"].alias("deep"),
+            ),
         )
-        found = F.when(F.length(match["part"]) >= rule.least, F.concat(state["spans"], F.array(span)))
-        return F.struct(end.alias("at"), found.otherwise(state["spans"]).alias("spans"))
+        kept = F.filter(spans, lambda x: x["deep"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "number", "end", "kind")]))
 
-    pairs = F.arrays_zip(whole.alias("whole"), part.alias("part"))
-    return F.aggregate(pairs, start, step)["spans"]
+    return F.when(F.regexp_like("text", pattern), _let(found, placed))
 
 
 def find_secrets(
@@ -197,10 +248,13 @@ def find_secrets(
     """Rows of ``docs`` with column secret_spans: array of (start, number, end, kind).
 
     Spans are by start, then by the rule's place in ``rules``; start and end are code points,
-    end exclusive. Matches of one rule do not overlap; those of different rules may. Null and
+    end exclusive. An expression must not match the empty string. Matches of one rule do not overlap; those of different rules may. Null and
     empty texts have none. All rows and columns stay as they are, but for a column named
     secret_spans, which this replaces. An empty table gives an empty one.
     """
+    for rule in rules:
+        if patterns.parse(rule.pattern).getwidth()[0] == 0:
+            raise ValueError(f"the expression of rule {rule.kind!r} matches the empty string")
     kept = [c for c in docs.columns if c != "secret_spans"]
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text.alias("text"))
@@ -212,7 +266,7 @@ def find_secrets(
         spans = _spans(rule, number)
         if trigram_query(rule.pattern):
             spans = F.when(F.array_contains("kinds", rule.kind), spans)
-        lists.append(F.coalesce(spans, F.array()))
+        lists.append(F.coalesce(spans, F.array().cast(_SPANS)))
     spans = F.array_sort(F.flatten(F.array(*lists)))
     return marked.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], spans.alias("secret_spans"))
 

@@ -90,9 +90,9 @@ drawn AS (SELECT doc_id, docs.source, rate, upto, unnest(range(1, parts + 1)) AS
   FROM docs JOIN tables ON docs.source IS NOT DISTINCT FROM tables.source),
 counted AS (SELECT doc_id, source, rate,
   sum(len(list_filter(upto, lambda x: x <= {draw}))) AS n FROM drawn GROUP BY ALL)
-SELECT doc_id, source, rate AS mix_rate, CAST(copy AS INTEGER) AS mix_copy,
-  md5('{seed} place|' || doc_id || '|' || copy) AS mix_place
-FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM counted)
+SELECT d.*, rate AS mix_rate, CAST(copy AS INTEGER) AS mix_copy,
+  md5('{seed} place|' || c.doc_id || '|' || copy) AS mix_place
+FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM counted) c JOIN documents d ON d.doc_id = c.doc_id
 """
 
 

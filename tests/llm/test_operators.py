@@ -402,6 +402,65 @@ def test_languages_of_held_out_documents(docs):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 20
 
 
+RANDOM_PARTS = ["a", "bc", "d", "K", "é", "[ab]", "[0-9]", "[a-c]?", "(bc|d|ef)", "(a*x|bc)", "x{2}", "(?:d|[0-9]*e)f", "(ab+)?", "(?:abc){2}", "k?"]
+
+
+def test_trigram_queries_admit_every_match():
+    """No regular expression has a query that one of its own matches fails."""
+    rng = random.Random(12)
+    met = 0
+    for _ in range(3000):
+        pattern = "".join(rng.choice(RANDOM_PARTS) for _ in range(rng.randrange(1, 7)))
+        query = trigram_query(pattern)
+        for _ in range(12):
+            text = "".join(rng.choice(["a", "b", "c", "bc", "d", "e", "f", "x", "xx", "K", "k", "é", "É", "1", "abc", "def"]) for _ in range(rng.randrange(1, 12)))
+            if re.search(pattern, text):
+                met += 1
+                low = text.lower()
+                assert all(any(all(t in low for t in alternative) for alternative in clause) for clause in query), (pattern, text)
+    assert met > 2000
+
+
+@pytest.mark.parametrize(
+    "pattern, text",
+    [
+        ("sk(?:_live|[0-9]*_t)_[a-z]{8}", "sk12_t_abcdefgh"),
+        ("foo(a*xy|bc)z", "fooaaxyz"),
+        ("abc([0-9]+x){2}def", "abc1x22xdef"),
+        ("key(-?[0-9]+abc|def)end", "key-1abcend keydefend"),
+        ("secÉret", "a secÉret"),
+        ("(?<=x)AKIA[A-Z]+", "AKIAB xAKIAB"),
+        ("ab(?=c)", "abab abc abc"),
+        ("[0-9]+", "é1 22é333 "),
+    ],
+)
+def test_spans_are_those_of_the_matches(spark, pattern, text):
+    from panelspark.llm.secret_scan import Rule
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = find_secrets(df, (Rule("one", pattern),)).first().secret_spans
+    assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer(pattern, text)] != []
+
+
+def test_a_text_of_very_many_secrets(spark):
+    import time
+
+    text = " ".join(f"AKIA{i:020d}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    find_secrets(df.limit(0)).collect()
+    begin = time.perf_counter()
+    spans = find_secrets(df).select(F.expr("filter(secret_spans, s -> s.kind = 'access')").alias("s")).first().s
+    assert [(s.start, s.end) for s in (spans[0], spans[777], spans[-1])] == [(0, 24), (777 * 25, 777 * 25 + 24), (99_999 * 25, 99_999 * 25 + 24)]
+    assert len(spans) == 100_000 and time.perf_counter() - begin < 60
+
+
+def test_rules_that_match_nothing_are_refused(spark, docs):
+    from panelspark.llm.secret_scan import Rule
+
+    with pytest.raises(ValueError):
+        find_secrets(docs, (Rule("none", "a*"),))
+
+
 # Queries -------------------------------------------------------------------------------
 
 
@@ -426,10 +485,36 @@ def test_suffix_query_digest(spark, docs):
         assert (r.n_removed, r.kept_sha256) == (want[r.doc_id][0], hashlib.sha256(want[r.doc_id][1]).hexdigest())
 
 
+def test_pipeline_keeps_unrelated_rows_apart(spark, odd):
+    """Shared and null ids: rows go by their texts alone, in every stage."""
+    words = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcde"]
+    ids = [None, None, 1, 1, 2]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    apart = corpus_pipeline.near_duplicates(spark, docs, TINY)
+    assert sorted(r.text for r in apart.collect()) == words
+    copies = docs.union(docs).union(docs.selectExpr("7L", "concat(text, ' end')", "lang", "source", "n_chars"))
+    left = corpus_pipeline.near_duplicates(spark, copies, TINY).collect()
+    assert sorted(r.doc_id or 0 for r in left) == [1, 1, 2, 7, 7]
+    # One of two rows with the same id fails the rules: only that row goes.
+    mixed = docs.union(docs.selectExpr("doc_id", "'too short'", "lang", "source", "n_chars"))
+    assert sorted(r.text for r in corpus_pipeline.quality(spark, mixed, TINY).collect()) == words
+    worded = odd.where("text IS NOT NULL AND length(trim(text)) > 3")
+    for step in (corpus_pipeline.secrets, corpus_pipeline.packing):
+        assert step(spark, odd, TINY).count() == odd.count()
+    assert corpus_pipeline.near_duplicates(spark, odd, TINY).count() <= odd.count()
+    assert corpus_pipeline.quality(spark, worded, TINY).columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.mixing(spark, odd, TINY).columns == corpus_pipeline.COLUMNS
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, odd.limit(0), TINY).count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     """Every stage on what the one before kept: columns, decisions, clean documents."""
     kept = corpus_pipeline.quality(spark, docs, TINY)
-    judged = quality_rules(docs).where("kept").select("doc_id")
+    judged = quality_rules(docs)
+    assert judged.columns[:7] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = judged.where("kept").select("doc_id")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judged.collect())
     single = corpus_pipeline.near_duplicates(spark, kept, TINY)
     rows = sorted((r.doc_id, r.text) for r in kept.collect())
