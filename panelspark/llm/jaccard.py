@@ -488,12 +488,11 @@ def _crossing_pairs(live: DataFrame, percent: int) -> DataFrame:
     """
     block = F.when(F.col("place") <= _MID, F.col("hub"))
     mixed = live.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sign")
-    counts = live.withColumn("block", block).where("block IS NOT NULL").groupBy("sign", "block").agg(F.count(F.lit(1)).alias("held"))
+    few = stage(live.drop("n").join(mixed, "sign"))
+    counts = few.withColumn("block", block).where("block IS NOT NULL").groupBy("sign", "block").agg(F.count(F.lit(1)).alias("held"))
     bulk = counts.groupBy("sign").agg(F.max(F.struct("held", "block")).alias("most"))
-    groups = mixed.join(bulk, "sign", "left").select("sign", F.col("most.block").alias("bulk"))
     rest = (
-        live.drop("n")
-        .join(groups, "sign")
+        few.join(bulk.select("sign", F.col("most.block").alias("bulk")), "sign", "left")
         .withColumn("outside", ~F.coalesce(block == F.col("bulk"), F.lit(False)))
         .withColumn("before", F.lag("sign").over(Window.partitionBy("node").orderBy("sign")))
     )
