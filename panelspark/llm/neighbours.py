@@ -7,9 +7,12 @@ rotation the error is below ``width`` * sqrt((1 - c^2) / c^2) / sqrt(dim - 1) bu
 vanishing share of pairs. Queries are quantised to ``_LEVELS`` levels, so <b, q> is a few
 population counts of packed words; the quantisation error is added to the bound.
 
-Vectors are dealt into blocks and meet every block of queries once. Inside a block a vector is
-reranked on the original components if its upper bound reaches the k-th largest lower bound,
-the best k of the block leave it, and the best k of all blocks are the result.
+Codes, correction scalars and lengths are computed once per vector and staged packed, a block of
+vectors a row. Only these meet the queries: every block of queries is handed to every block of
+codes, which leaves the vectors whose upper bound reaches the k-th largest lower bound of the
+block, and of those the ones that reach it over all blocks. Just these are fetched in full, by
+id, and reranked on the original components. Of equal vectors only the k + 1 smallest ids can be
+among the best k of any query, so the rest of a large group of copies is not searched.
 """
 
 from __future__ import annotations
@@ -43,16 +46,19 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """One-bit codes and correction scalars of a block of vectors."""
+    """One-bit codes, correction scalars and lengths of a block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray):
-        self.lengths = np.linalg.norm(vectors, axis=1)
-        turned = (vectors / self.lengths[:, None]) @ turn
-        signs = turned > 0
-        self.dimension = turned.shape[1]
-        self.words = _packed(signs)
-        self.ones = signs.sum(axis=1)
-        self.correction = np.abs(turned).sum(axis=1) / np.sqrt(self.dimension)
+    def __init__(self, words: np.ndarray, correction: np.ndarray, lengths: np.ndarray, dimension: int):
+        self.words, self.correction, self.lengths = words, correction, lengths
+        self.dimension = dimension
+        self.ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, turn: np.ndarray) -> Codes:
+        lengths = np.linalg.norm(vectors, axis=1)
+        turned = (vectors / lengths[:, None]) @ turn
+        dimension = turned.shape[1]
+        return cls(_packed(turned > 0), np.abs(turned).sum(axis=1) / np.sqrt(dimension), lengths, dimension)
 
     def bounds(self, query: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) bounds of the inner products with one rotated query."""
@@ -73,29 +79,17 @@ class Codes:
         return self.lengths * (estimate - error), self.lengths * (estimate + error)
 
 
-def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products of original vectors; equal vectors give equal values."""
-    return (vectors * query).sum(axis=1)
-
-
-def _search(ids, vectors, query_ids, queries, turn, k, width):
-    """(query, vector, score) of the best k per query in one block."""
-    codes = Codes(vectors, turn)
-    turned = queries @ turn
-    out = []
-    for number, query_id in enumerate(query_ids):
-        lower, upper = codes.bounds(turned[number], width)
-        own = ids == query_id
-        lower[own] = upper[own] = -np.inf
-        others = len(ids) - int(own.sum())
-        if others == 0:
+def _search(ids, codes, query_ids, turned, k, width):
+    """(query, vector, lower, upper) of the vectors of one block that may be among the best k of a query."""
+    for query_id, query in zip(query_ids, turned, strict=True):
+        lower, upper = codes.bounds(query, width)
+        others = ids != query_id
+        lower, upper, left = lower[others], upper[others], ids[others]
+        if not len(left):
             continue
-        least = np.partition(lower, len(ids) - k)[len(ids) - k] if others > k else -np.inf
-        chosen = np.flatnonzero((upper >= least) & ~own)
-        scores = _products(vectors[chosen], queries[number])
-        order = np.lexsort((ids[chosen], -scores))[:k]
-        out.append((np.full(len(order), query_id), ids[chosen][order], scores[order], np.full(len(order), len(chosen))))
-    return out
+        least = np.partition(lower, len(left) - k)[len(left) - k] if len(left) > k else -np.inf
+        chosen = np.flatnonzero(upper >= least)
+        yield np.full(len(chosen), query_id), left[chosen], lower[chosen], upper[chosen]
 
 
 def _usable(column: str) -> Column:
@@ -112,8 +106,8 @@ def nearest_neighbours(
     query_every: int = 20,
     width: float = 2.0,
     expansion: int = 4,
-    block_rows: int = 8192,
-    query_rows: int = 1024,
+    block_rows: int = 1 << 17,
+    query_rows: int = 2048,
     seed: int = 7,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
@@ -122,14 +116,15 @@ def nearest_neighbours(
 
     Queries are rows whose id is divisible by ``query_every``; candidates all rows but the
     query's own id. Returns query_id, rank (from 1), vec_id, score (double, on the original
-    vectors) and reranked (vectors of its block that were scored), nearest first, ties to the
+    vectors) and reranked (how many vectors were scored for the query), nearest first, ties to the
     smaller id. Fewer than k candidates are all returned.
 
     Rows with a null id or vector, a zero vector, a null or non-finite component, or a length
     other than the most frequent one (the smaller of ties) take no part. Rows that repeat id
     and vector count once; of different vectors with one id the smallest (as an array) stays.
     Other columns are ignored. An empty table gives an empty one. Memory is bounded by one
-    block of vectors and one of queries; ``width`` sets the chance to miss a neighbour (2: a few
+    block of codes (``block_rows`` at most, fewer if there would be fewer blocks than tasks can
+    run) and one of queries; ``width`` sets the chance to miss a neighbour (2: a few
     in 100 for a neighbour just at the threshold, less above), ``expansion`` the bits per component.
     """
     rows = vectors.select(
@@ -138,56 +133,114 @@ def nearest_neighbours(
     rows = stage(rows.groupBy("id").agg(F.min("v").alias("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.orderBy(F.desc("n"), "d").first()
-    schema = "query_id bigint, vec_id bigint, score double, reranked bigint"
+    spark = vectors.sparkSession
     if top is None:
-        return vectors.sparkSession.createDataFrame([], schema).select(
-            "query_id", F.lit(1).alias("rank"), "vec_id", "score", "reranked"
-        )
+        empty = "query_id bigint, rank int, vec_id bigint, score double, reranked bigint"
+        return spark.createDataFrame([], empty)
     dimension = top.d
     rows = rows.where(F.size("v") == dimension)
     total = rows.count()
+    slots = spark.sparkContext.defaultParallelism
+    block_rows = max(1024, min(block_rows, total // (2 * slots) + 1))
+    # One matrix for the whole run, so tasks do not factor it again.
+    turn = spark.sparkContext.broadcast(rotation(dimension, seed, expansion))
+
+    def packed(source: DataFrame, count: int, name: str, pack, schema: str) -> DataFrame:
+        """Blocks of rows, one a row, as bytes."""
+        dealt = source.withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.lit(count)).cast("int"))
+
+        def run(batches):
+            held, now = [], None
+
+            def done():
+                packs = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *packs], names=schema_names)
+
+            for batch in batches:
+                blocks = batch.column(name).to_numpy()
+                ids = batch.column("id").to_numpy()
+                values = batch.column("v").flatten().to_numpy().reshape(-1, dimension)
+                edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    if now is not None and blocks[a] != now:
+                        yield done()
+                        held.clear()
+                    now = int(blocks[a])
+                    held.append((ids[a:b], *pack(values[a:b])))
+            if held:
+                yield done()
+
+        schema_names = [part.split()[0] for part in schema.split(", ")]
+        return stage(dealt.repartition(name).sortWithinPartitions(name).select("id", "v", name).mapInArrow(run, schema))
+
+    def codes_of(values):
+        codes = Codes.of(values, turn.value)
+        return codes.words, codes.correction, codes.lengths
+
+    # Of equal vectors the k + 1 smallest ids; a large group is thinned in parts before it meets.
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    searched = rows
+    for key in ([F.col("v"), part], [F.col("v")]):
+        first = Window.partitionBy(*key).orderBy("id")
+        searched = searched.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= k + 1).drop("_nth")
+    searched = stage(searched)
+    asking = rows.where(F.col("id") % query_every == 0)
     blocks, query_blocks = total // block_rows + 1, total // query_every // query_rows + 1
-
-    def gathered(source: DataFrame, count: int, name: str) -> DataFrame:
-        """Blocks of rows, each a list of ids and one of all components."""
-        block = F.pmod(F.xxhash64("id", F.lit(name)), F.lit(count)).alias(name)
-        return source.select(block, F.struct("id", "v").alias("row")).groupBy(name).agg(
-            F.collect_list("row").alias(f"{name}_rows")
-        ).select(
-            name,
-            F.col(f"{name}_rows.id").alias(f"{name}_ids"),
-            F.flatten(F.col(f"{name}_rows.v")).alias(f"{name}_values"),
-        )
-
-    data = gathered(rows, blocks, "block")
-    queries = gathered(rows.where(F.col("id") % query_every == 0), query_blocks, "queries")
-    # Every query block is handed to every data block: a stated query set against all rows.
-    dealt = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    pairs = dealt.join(data, "block")
+    data = packed(searched, blocks, "block", codes_of, "block int, ids binary, words binary, corrections binary, lengths binary")
+    queries = packed(asking, query_blocks, "queries", lambda v: (v,), "queries int, query_ids binary, query_values binary")
+    # Every query block is handed to every block of codes: a stated query set against all rows.
+    dealt = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = min(blocks * query_blocks, max(4 * slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = dealt.join(data, "block").repartition(tasks, "block", "queries")
 
     def search(batches):
-        turn = rotation(dimension, seed, expansion)
+        width_bits = dimension * expansion
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, values, query_ids, query_values = (
-                    np.asarray(batch.column(c)[i].values)
-                    for c in ("block_ids", "block_values", "queries_ids", "queries_values")
-                )
-                found = _search(
-                    ids, values.reshape(-1, dimension), query_ids, query_values.reshape(-1, dimension), turn, k, width
-                )
-                if found:
-                    columns = [np.concatenate(c) for c in zip(*found)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in columns], names=["query_id", "vec_id", "score", "reranked"]
-                    )
-
-    # One block pair per Arrow batch would need a setting; instead each task holds few pairs.
-    many = pairs.repartition(max(blocks * query_blocks, 1), "block", "queries")
-    found = many.mapInArrow(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+                def of(column, kind, batch=batch, i=i):
+                    return np.frombuffer(batch.column(column)[i].as_py(), dtype=kind)
+
+                ids = of("ids", np.int64)
+                codes = Codes(of("words", np.uint64).reshape(len(ids), -1), of("corrections", float), of("lengths", float), width_bits)
+                query_ids = of("query_ids", np.int64)
+                turned = of("query_values", float).reshape(-1, dimension) @ turn.value
+                held, size = [], 0
+                for one in _search(ids, codes, query_ids, turned, k, width):
+                    held.append(one)
+                    size += len(one[0])
+                    if size > 100_000:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
+
+    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, lower double, upper double")
+    best = Window.partitionBy("query_id")
+    kth = F.max(F.when(F.col("_at") == k, F.col("lower"))).over(best)
+    kept = (
+        found.withColumn("_at", F.row_number().over(best.orderBy(F.desc("lower"))))
+        .withColumn("_least", kth)
+        .where("_least IS NULL OR upper >= _least")
+        .select("query_id", "vec_id")
+    )
+    pair = (
+        kept.join(searched.select(F.col("id").alias("vec_id"), F.col("v").alias("_of")), "vec_id")
+        .join(asking.select(F.col("id").alias("query_id"), F.col("v").alias("_by")), "query_id")
+    )
+    product = F.aggregate(F.zip_with("_of", "_by", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    scored = pair.select("query_id", "vec_id", product.alias("score"))
+    order = best.orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        scored.withColumn("rank", F.row_number().over(order))
+        .withColumn("reranked", F.count(F.lit(1)).over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score", "reranked")
     )
+
+
+def _batch(held) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "lower", "upper"])

@@ -257,6 +257,21 @@ def test_neighbours_and_ties(spark):
     assert hits >= 0.97 * 20 * len(asked)
 
 
+def test_neighbours_of_odd_rows(spark):
+    """Empty tables, repeated rows, few rows, and columns named like inner ones."""
+    rows = [(i % 25, [float(i % 25), 1.0], "v", 3, 4) for i in range(50)] + [(40, None, None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, block int, id int")
+    assert nearest_neighbours(df.limit(0)).count() == 0
+    assert nearest_neighbours(df.where("embedding IS NULL")).count() == 0
+    got = nearest_neighbours(df).collect()
+    assert {r.query_id for r in got} == {0, 20}
+    ours = [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 20]
+    others = sorted((-(20.0 * i + 1), i) for i in range(25) if i != 20)[:20]
+    assert ours == [(n, i, -s) for n, (s, i) in enumerate(others, 1)]
+    few = nearest_neighbours(df.where("vec_id IN (0, 3)")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(0, 1, 3, 1.0)]
+
+
 # Packing and mixing --------------------------------------------------------------------
 
 
