@@ -8,10 +8,12 @@ vanishing share of pairs. Queries are quantised to ``_LEVELS`` levels, so <b, q>
 population counts of packed words; the quantisation error is added to the bound.
 
 Codes, correction scalars and lengths are computed once per vector and staged packed, a block of
-vectors a row. Only these meet the queries: every block of queries is handed to every block of
-codes, which leaves the vectors whose upper bound reaches the k-th largest lower bound of the
-block, and of those the ones that reach it over all blocks. Just these are fetched in full, by
-id, and reranked on the original components. Of equal vectors only the k + 1 smallest ids can be
+vectors a row, the original components beside them. Every block of queries is handed to every
+block of vectors; the vectors themselves are dealt out once. Inside a block the k vectors with
+the largest estimates are scored exactly, and then those whose upper bound reaches the k-th of
+these scores: no other can be among the best k, but for the bounds' chance. The best k of each
+block leave it, and the best k of all blocks are the result, so what is shuffled grows with the
+queries and not with the vectors that bounds let through. Of equal vectors only the k + 1 smallest ids can be
 among the best k of any query, so the rest of a large group of copies is not searched.
 """
 
@@ -79,17 +81,28 @@ class Codes:
         return self.lengths * (estimate - error), self.lengths * (estimate + error)
 
 
-def _search(ids, codes, query_ids, turned, k, width):
-    """(query, vector, lower, upper) of the vectors of one block that may be among the best k of a query."""
-    for query_id, query in zip(query_ids, turned, strict=True):
-        lower, upper = codes.bounds(query, width)
-        others = ids != query_id
-        lower, upper, left = lower[others], upper[others], ids[others]
-        if not len(left):
+def _search(ids, codes, vectors, query_ids, queries, turned, k, width):
+    """(query, vector, score, reranked) of the best k of one block for each query."""
+    for number, query_id in enumerate(query_ids):
+        lower, upper = codes.bounds(turned[number], width)
+        own = ids == query_id
+        lower[own] = upper[own] = -np.inf
+        others = len(ids) - int(own.sum())
+        if not others:
             continue
-        least = np.partition(lower, len(left) - k)[len(left) - k] if len(left) > k else -np.inf
-        chosen = np.flatnonzero(upper >= least)
-        yield np.full(len(chosen), query_id), left[chosen], lower[chosen], upper[chosen]
+        chosen = np.flatnonzero(~own)
+        if others > k:
+            first = np.argpartition(lower + upper, len(ids) - k)[len(ids) - k :]
+            least = _products(vectors[first], queries[number]).min()
+            chosen = np.union1d(first, np.flatnonzero(upper >= least))
+        scores = _products(vectors[chosen], queries[number])
+        order = np.lexsort((ids[chosen], -scores))[:k]
+        yield np.full(len(order), query_id), ids[chosen][order], scores[order], np.full(len(order), len(chosen))
+
+
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of original vectors; equal vectors give equal values."""
+    return (vectors * query).sum(axis=1)
 
 
 def _usable(column: str) -> Column:
@@ -106,7 +119,7 @@ def nearest_neighbours(
     query_every: int = 20,
     width: float = 2.0,
     expansion: int = 4,
-    block_rows: int = 1 << 17,
+    block_rows: int = 1 << 15,
     query_rows: int = 2048,
     seed: int = 7,
     id_column: str = "vec_id",
@@ -116,14 +129,14 @@ def nearest_neighbours(
 
     Queries are rows whose id is divisible by ``query_every``; candidates all rows but the
     query's own id. Returns query_id, rank (from 1), vec_id, score (double, on the original
-    vectors) and reranked (how many vectors were scored for the query), nearest first, ties to the
+    vectors) and reranked (vectors of its block that were scored), nearest first, ties to the
     smaller id. Fewer than k candidates are all returned.
 
     Rows with a null id or vector, a zero vector, a null or non-finite component, or a length
     other than the most frequent one (the smaller of ties) take no part. Rows that repeat id
     and vector count once; of different vectors with one id the smallest (as an array) stays.
     Other columns are ignored. An empty table gives an empty one. Memory is bounded by one
-    block of codes (``block_rows`` at most, fewer if there would be fewer blocks than tasks can
+    block of vectors (``block_rows`` at most, fewer if there would be fewer blocks than tasks can
     run) and one of queries; ``width`` sets the chance to miss a neighbour (2: a few
     in 100 for a neighbour just at the threshold, less above), ``expansion`` the bits per component.
     """
@@ -177,7 +190,7 @@ def nearest_neighbours(
 
     def codes_of(values):
         codes = Codes.of(values, turn.value)
-        return codes.words, codes.correction, codes.lengths
+        return codes.words, codes.correction, codes.lengths, values
 
     # Of equal vectors the k + 1 smallest ids; a large group is thinned in parts before it meets.
     part = F.pmod(F.xxhash64("id"), F.lit(64))
@@ -188,7 +201,7 @@ def nearest_neighbours(
     searched = stage(searched)
     asking = rows.where(F.col("id") % query_every == 0)
     blocks, query_blocks = total // block_rows + 1, total // query_every // query_rows + 1
-    data = packed(searched, blocks, "block", codes_of, "block int, ids binary, words binary, corrections binary, lengths binary")
+    data = packed(searched, blocks, "block", codes_of, "block int, ids binary, words binary, corrections binary, lengths binary, vectors binary")
     queries = packed(asking, query_blocks, "queries", lambda v: (v,), "queries int, query_ids binary, query_values binary")
     # Every query block is handed to every block of codes: a stated query set against all rows.
     dealt = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -205,37 +218,18 @@ def nearest_neighbours(
 
                 ids = of("ids", np.int64)
                 codes = Codes(of("words", np.uint64).reshape(len(ids), -1), of("corrections", float), of("lengths", float), width_bits)
+                vectors = of("vectors", float).reshape(-1, dimension)
                 query_ids = of("query_ids", np.int64)
-                turned = of("query_values", float).reshape(-1, dimension) @ turn.value
-                held, size = [], 0
-                for one in _search(ids, codes, query_ids, turned, k, width):
-                    held.append(one)
-                    size += len(one[0])
-                    if size > 100_000:
-                        yield _batch(held)
-                        held, size = [], 0
+                queries = of("query_values", float).reshape(-1, dimension)
+                held = list(_search(ids, codes, vectors, query_ids, queries, queries @ turn.value, k, width))
                 if held:
                     yield _batch(held)
 
-    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, lower double, upper double")
+    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double, reranked bigint")
     best = Window.partitionBy("query_id")
-    kth = F.max(F.when(F.col("_at") == k, F.col("lower"))).over(best)
-    kept = (
-        found.withColumn("_at", F.row_number().over(best.orderBy(F.desc("lower"))))
-        .withColumn("_least", kth)
-        .where("_least IS NULL OR upper >= _least")
-        .select("query_id", "vec_id")
-    )
-    pair = (
-        kept.join(searched.select(F.col("id").alias("vec_id"), F.col("v").alias("_of")), "vec_id")
-        .join(asking.select(F.col("id").alias("query_id"), F.col("v").alias("_by")), "query_id")
-    )
-    product = F.aggregate(F.zip_with("_of", "_by", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-    scored = pair.select("query_id", "vec_id", product.alias("score"))
     order = best.orderBy(F.desc("score"), "vec_id")
     return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .withColumn("reranked", F.count(F.lit(1)).over(best))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score", "reranked")
     )
@@ -243,4 +237,4 @@ def nearest_neighbours(
 
 def _batch(held) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "lower", "upper"])
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "reranked"])
