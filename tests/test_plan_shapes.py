@@ -74,9 +74,10 @@ def test_no_row_at_a_time_python_and_no_cross_products(spark):
 
 def test_factor_solve_runs_on_one_row_per_date(spark):
     plan = plan_of(q.all_queries()["mvo_weights_factor_risk"](spark, TINY))
-    assert "MapInPandas" in plan and "BatchEvalPython" not in plan
-    below = plan.split("MapInPandas")[1]
-    assert below.index("HashAggregate") < below.index("Scan")
+    assert "BatchEvalPython" not in plan
+    # The solve comes first in the plan, then the aggregate by date, then the sums of cross products.
+    _, below, rows = plan.split("MapInArrow", 2)
+    assert "ObjectHashAggregate" in below and "Scan" in rows
 
 
 def test_exposure_join_and_lag_can_share_a_shuffle(spark, panel):
