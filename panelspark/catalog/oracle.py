@@ -783,6 +783,8 @@ SELECT date, barrid, {r('w', 11, 'weight')}, signal FROM stored WHERE {SHORT}"""
         "study_exposure_quantile_regression": fit_table("x3_fit", FIVE),
         "study_illiq_backtest": weights_of("x4_w"),
         "study_monthly_illiq_backtest": weights_of("x5_w", 12),
+        "extend_illiq_backtest": weights_of("x4_w"),
+        "extend_monthly_illiq_backtest": weights_of("x5_w", 12),
         "study_monthly_illiq_backtest_ic": coefficients("x5_sc", "x5_fwd", "x5_ic", True),
         "study_monthly_illiq_backtest_ic_pearson": coefficients("x5_sc", "x5_fwd", "x5_icp", False),
         "study_mvo_report": f"SELECT date, {r('c', 7, 'cumulative_return')} FROM x6_curve",

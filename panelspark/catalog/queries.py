@@ -543,6 +543,23 @@ def q_study_illiq_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(study.weights())
 
 
+def _by_year(extend, spark: SparkSession, sf: str, **options) -> DataFrame:
+    """The first years in one run, the last two each from the state that the run before left."""
+    assets, path = stage(frame(spark, sf, "fx_assets")), new_path(spark, "extended")
+    extend(spark, assets, path, START.year, END.year - 2, fresh=True, **options)
+    extend(spark, assets, path, END.year - 1, **options)
+    return extend(spark, assets, path, END.year, **options).select("date", "barrid", "weight")
+
+
+def q_extend_illiq_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_by_year(plans.extend_illiq_backtest, spark, sf))
+
+
+def q_extend_monthly_illiq_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    extended = _by_year(plans.extend_monthly_illiq_backtest, spark, sf, min_days=MIN_DAYS)
+    return rounded(extended, 12)
+
+
 def _monthly_backtest(spark: SparkSession, sf: str) -> plans.BacktestStudy:
     assets = frame(spark, sf, "fx_assets")
     return plans.study_monthly_illiq_backtest(spark, assets, START, END, min_days=MIN_DAYS)

@@ -1,4 +1,5 @@
 from panelspark.operators.backtest import alphas, backtest_by_year, multi_signal_weights
+from panelspark.operators.carry import illiq_tail, month_tail, tail_rows
 from panelspark.operators.covariance import as_of_join, check_covariances, covariance_report
 from panelspark.operators.crosssection import quantile_bins, rank_quantile_bins, zscore_by_date
 from panelspark.operators.ic import information_coefficients
@@ -58,8 +59,10 @@ __all__ = [
     "illiq_monthly_market",
     "illiq_monthly_panel",
     "illiq_rolling",
+    "illiq_tail",
     "information_coefficients",
     "lead_factors",
+    "month_tail",
     "multi_signal_weights",
     "mvo_weights",
     "ols_by_group",
@@ -72,6 +75,7 @@ __all__ = [
     "round_doubles",
     "signal_stats",
     "spread_returns",
+    "tail_rows",
     "universe_filter",
     "vol_scaled_momentum",
     "vol_target",

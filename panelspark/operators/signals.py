@@ -23,6 +23,9 @@ from panelspark.operators.windows import asset_window, long_rolling
 # Decay over one block of the exponential mean, as a natural logarithm: 1e-100.
 _BLOCK_DECAY = 230.0
 
+# Sums of an exponential mean over an asset's rows before the frame begins, borne by its first row.
+EWM_STATE = ("ewm_top", "ewm_bottom", "ewm_odd", "ewm_seen")
+
 
 def illiq_monthly_market(df: DataFrame, key: str = "permno") -> DataFrame:
     """Monthly mean illiquidity and compounded return; liquidity and day count lag a row.
@@ -95,13 +98,14 @@ def illiq_monthly_panel(df: DataFrame, key: str = "barrid") -> DataFrame:
     )
 
 
-def _ewm_mean(df: DataFrame, value: str, key: str, span: int, rows: int) -> DataFrame:
-    """Replace ``value`` by its bias-adjusted exponential mean, NULL before ``rows`` values.
+def ewm_sums(df: DataFrame, value: str, key: str, span: int) -> DataFrame:
+    """Add the running sums of an exponential mean: _top, _bottom, _odd and _seen.
 
     The history is cut into blocks and rows are weighed relative to their block's end, so no
     exponent exceeds a block's decay, ``_BLOCK_DECAY`` in natural logarithms. A row adds the
     running sums of its block to those of the blocks before, decayed; from the fourth block back
-    the decay is below the smallest double. A non-finite value stays in the mean for good.
+    the decay is below the smallest double. Columns ``EWM_STATE``, where present, are the sums
+    up to the row before an asset's first one and decay from there.
     """
     window = asset_window(key)
     frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -127,15 +131,29 @@ def _ewm_mean(df: DataFrame, value: str, key: str, span: int, rows: int) -> Data
             out = out + F.coalesce(F.sum(column).over(block), F.lit(0.0)) * decay
         return out
 
+    sums = {
+        "_top": total("_weighted"),
+        "_bottom": total("_weight"),
+        "_odd": F.sum(F.when(~usable, F.col(value))).over(frame),
+        "_seen": F.count(value).over(frame),
+    }
+    if set(EWM_STATE) <= set(df.columns):
+        top, bottom, odd, seen = (F.first(c).over(frame) for c in EWM_STATE)
+        decay = F.exp(-(F.col("_row") + 1) * step)
+        sums["_top"] = sums["_top"] + F.coalesce(top, F.lit(0.0)) * decay
+        sums["_bottom"] = sums["_bottom"] + F.coalesce(bottom, F.lit(0.0)) * decay
+        sums["_odd"] = F.coalesce(sums["_odd"] + odd, sums["_odd"], odd)
+        sums["_seen"] = sums["_seen"] + F.coalesce(seen, F.lit(0))
+    return df.withColumns(sums).drop("_row", "_block", "_spot", "_weight", "_weighted")
+
+
+def _ewm_mean(df: DataFrame, value: str, key: str, span: int, rows: int) -> DataFrame:
+    """Replace ``value`` by its bias-adjusted exponential mean, NULL before ``rows`` values.
+
+    A non-finite value stays in the mean for good.
+    """
     return (
-        df.withColumns(
-            {
-                "_top": total("_weighted"),
-                "_bottom": total("_weight"),
-                "_odd": F.sum(F.when(~usable, F.col(value))).over(frame),
-                "_seen": F.count(value).over(frame),
-            }
-        )
+        ewm_sums(df, value, key, span)
         .withColumn(
             value,
             F.when(
@@ -143,7 +161,7 @@ def _ewm_mean(df: DataFrame, value: str, key: str, span: int, rows: int) -> Data
                 F.coalesce("_odd", ieee_div(F.col("_top"), "_bottom")),
             ),
         )
-        .drop("_row", "_block", "_spot", "_weight", "_weighted", "_top", "_bottom", "_odd", "_seen")
+        .drop("_top", "_bottom", "_odd", "_seen")
     )
 
 

@@ -1,3 +1,4 @@
+from panelspark.plans.incremental import extend_illiq_backtest, extend_monthly_illiq_backtest
 from panelspark.plans.studies import (
     FULL_PERIOD,
     IN_SAMPLE,
@@ -23,6 +24,8 @@ __all__ = [
     "BacktestStudy",
     "QuantileStudy",
     "WeightsReport",
+    "extend_illiq_backtest",
+    "extend_monthly_illiq_backtest",
     "study_daily_quantile",
     "study_exposure_quantile",
     "study_illiq_backtest",

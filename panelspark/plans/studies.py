@@ -290,6 +290,40 @@ class BacktestStudy:
         )
 
 
+BACKTEST_COLUMNS = ("date", "barrid", "price", "return", "daily_volume", "specific_risk", "predicted_beta")
+
+
+def rolling_illiq_panel(data: DataFrame, price_filter: float = 5.0, **options) -> DataFrame:
+    """Scoreable rows of the rolling illiquidity; only NULL signals are filtered."""
+    kept = universe_filter(
+        illiq_rolling(data, "barrid", **options),
+        "barrid",
+        "illiq",
+        price_filter,
+        finite="null_only",
+        not_null=("predicted_beta", "specific_risk"),
+    )
+    return kept.select("date", "barrid", "predicted_beta", "specific_risk", "illiq")
+
+
+def monthly_illiq_panel(data: DataFrame, price_filter: float = 5.0, min_days: int = 15) -> DataFrame:
+    """Scoreable rows of the previous month's illiquidity."""
+    kept = universe_filter(
+        illiq_monthly_panel(data, "barrid"),
+        "barrid",
+        "liquidity",
+        price_filter,
+        min_days,
+        not_null=("specific_risk", "predicted_beta"),
+    )
+    return kept.select("date", "barrid", "predicted_beta", "specific_risk", "liquidity")
+
+
+def decimal_units(data: DataFrame) -> DataFrame:
+    """Percent returns and risk as fractions."""
+    return data.withColumns({c: F.col(c) / 100.0 for c in ("return", "specific_risk")})
+
+
 def study_illiq_backtest(
     spark: SparkSession,
     assets: Source,
@@ -305,21 +339,9 @@ def study_illiq_backtest(
     Only NULL signals are filtered, so one infinite signal makes its whole date's scores
     non-finite; such rows get no weight.
     """
-    columns = ["date", "barrid", "price", "return", "specific_risk", "predicted_beta"]
-    columns += ["daily_volume"]
-    data = load_assets(spark, assets, start, end, columns).withColumns(
-        {c: F.col(c) / 100.0 for c in ("return", "specific_risk")}
-    )
-    kept = universe_filter(
-        illiq_rolling(data, "barrid"),
-        "barrid",
-        "illiq",
-        price_filter,
-        finite="null_only",
-        not_null=("predicted_beta", "specific_risk"),
-    )
+    data = decimal_units(load_assets(spark, assets, start, end, BACKTEST_COLUMNS))
     return BacktestStudy(
-        kept.select("date", "barrid", "predicted_beta", "specific_risk", "illiq"),
+        rolling_illiq_panel(data, price_filter),
         "illiq",
         data,
         gamma,
@@ -346,23 +368,11 @@ def study_monthly_illiq_backtest(
     Returns and risk stay in percent by default, which is what the large gamma is for;
     ``percent_units`` divides both by 100.
     """
-    columns = ["date", "barrid", "return", "price", "daily_volume", "specific_risk"]
-    columns += ["predicted_beta"]
-    data = load_assets(spark, assets, start, end, columns)
+    data = load_assets(spark, assets, start, end, BACKTEST_COLUMNS)
     if percent_units:
-        data = data.withColumns(
-            {c: F.col(c) / 100.0 for c in ("return", "specific_risk")}
-        )
-    kept = universe_filter(
-        illiq_monthly_panel(data, "barrid"),
-        "barrid",
-        "liquidity",
-        price_filter,
-        min_days,
-        not_null=("specific_risk", "predicted_beta"),
-    )
+        data = decimal_units(data)
     return BacktestStudy(
-        kept.select("date", "barrid", "predicted_beta", "specific_risk", "liquidity"),
+        monthly_illiq_panel(data, price_filter, min_days),
         "liquidity",
         data,
         gamma,

@@ -8,10 +8,12 @@ from panelspark.sources.loaders import (
     read_weights,
 )
 from panelspark.sources.staging import new_path, release, scope, stage, staging_root
+from panelspark.sources.state import StateError, read_state, write_state
 from panelspark.sources.writers import write_alphas, write_weights
 
 __all__ = [
     "ContractError",
+    "StateError",
     "check_contract",
     "load_assets",
     "load_covariances",
@@ -19,11 +21,13 @@ __all__ = [
     "load_factors",
     "load_market_daily",
     "new_path",
+    "read_state",
     "read_weights",
     "release",
     "scope",
     "stage",
     "staging_root",
     "write_alphas",
+    "write_state",
     "write_weights",
 ]
