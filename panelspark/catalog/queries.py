@@ -19,6 +19,7 @@ from panelspark import plans
 from panelspark.catalog.fixtures import frame
 from panelspark.functions import illiq_daily, market_cap
 from panelspark.sources import (
+    clustered_joins,
     load_assets,
     load_covariances,
     load_exposures,
@@ -28,6 +29,7 @@ from panelspark.sources import (
     read_weights,
     stage,
     write_alphas,
+    write_panel,
     write_weights,
 )
 
@@ -241,6 +243,17 @@ def q_composite_exposure_signal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ps.composite_exposure_signal(_universe(spark, sf), exposures))
 
 
+def _bucketed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return write_panel(df, new_path(spark, "panel"))
+
+
+def q_composite_exposure_signal_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    assets = _bucketed(spark, _universe(spark, sf))
+    exposures = _bucketed(spark, frame(spark, sf, "fx_exposures"))
+    with clustered_joins(spark):
+        return stage(rounded(ps.composite_exposure_signal(assets, exposures, bucketed=True)))
+
+
 def q_reversed_exposure_signal(spark: SparkSession, sf: str) -> DataFrame:
     exposures = frame(spark, sf, "fx_exposures")
     reversed_liquidity = {"USSLOWL_LIQUIDTY": -1.0}
@@ -442,6 +455,15 @@ def q_portfolio_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ps.portfolio_returns(weights, _forward(spark, sf)))
 
 
+def q_portfolio_returns_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    weights = _bucketed(spark, ps.mvo_weights(_alphas(spark, sf)))
+    assets = _bucketed(
+        spark, load_assets(spark, frame(spark, sf, "fx_assets"), columns=["date", "barrid", "return"])
+    )
+    with clustered_joins(spark):
+        return stage(rounded(ps.portfolio_returns(weights, ps.forward_returns(assets))))
+
+
 def q_multi_signal_weights(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "weights")
     _store(spark, sf, path)

@@ -235,6 +235,7 @@ def composite_exposure_signal(
     lag: int = 2,
     key: str = "barrid",
     name: str = "illiq",
+    bucketed: bool = False,
 ) -> DataFrame:
     """Lagged (weighted) sum of exposures over a fixed divisor, NULL if any part is NULL.
 
@@ -242,14 +243,15 @@ def composite_exposure_signal(
     reversed exposure. Exposures are left-joined on (date, ``key``). The panel is declared
     partitioned by ``key``: the planner replaces that by its own shuffle where the join needs
     both keys, and where ``spark.sql.requireAllClusterKeysForCoPartition`` is false it serves
-    the join and the lag with one shuffle per side.
+    the join and the lag with one shuffle per side. ``bucketed`` says that both panels come
+    from ``read_panel``: inside ``clustered_joins`` nothing is shuffled at all.
     """
     parts = [
         F.col(c) * float(cols[c]) if isinstance(cols, Mapping) else F.col(c) for c in cols
     ]
     total: Column = reduce(add, parts)
     return (
-        df.repartition(key)
+        (df if bucketed else df.repartition(key))
         .join(exposures.select("date", key, *cols), ["date", key], "left")
         .withColumn("_composite", total / float(divisor))
         .withColumn(name, F.lag("_composite", lag).over(asset_window(key)))

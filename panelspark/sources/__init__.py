@@ -1,4 +1,5 @@
 from panelspark.sources.contracts import ContractError, check_contract
+from panelspark.sources.layout import LayoutError, clustered_joins, read_panel, write_panel
 from panelspark.sources.loaders import (
     load_assets,
     load_covariances,
@@ -13,14 +14,17 @@ from panelspark.sources.writers import write_alphas, write_weights
 
 __all__ = [
     "ContractError",
+    "LayoutError",
     "StateError",
     "check_contract",
+    "clustered_joins",
     "load_assets",
     "load_covariances",
     "load_exposures",
     "load_factors",
     "load_market_daily",
     "new_path",
+    "read_panel",
     "read_state",
     "read_weights",
     "release",
@@ -28,6 +32,7 @@ __all__ = [
     "stage",
     "staging_root",
     "write_alphas",
+    "write_panel",
     "write_state",
     "write_weights",
 ]
