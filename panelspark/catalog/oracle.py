@@ -794,7 +794,8 @@ SELECT date, barrid, {r('w', 11, 'weight')}, signal FROM stored WHERE {SHORT}"""
         "study_signal_comparison_curve": f"""
 SELECT date, signal, {r('c', 7, 'cumulative_return')} FROM x7_curve""",
     }
-    # A layout changes the plan, not the rows.
+    # A layout or a way of solving changes the plan, not the rows.
     for name in ("composite_exposure_signal", "portfolio_returns"):
         finals[f"{name}_bucketed"] = finals[name]
+    finals["ols_by_group_qr"] = finals["ols_by_group"]
     return {name: statement(final) for name, final in finals.items()}

@@ -372,6 +372,11 @@ def q_ols_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fitted, 7)
 
 
+def q_ols_by_group_qr(spark: SparkSession, sf: str) -> DataFrame:
+    returns = _regression_frame(spark, sf)
+    return rounded(ps.ols_by_group(returns, "return_rf", ps.THREE_FACTORS, "bin", method="qr"), 7)
+
+
 def q_ols_overall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(
         ps.ols_by_group(_regression_frame(spark, sf), "return_rf", ps.FIVE_FACTORS), 7

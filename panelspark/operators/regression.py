@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import ieee_div
+from panelspark.operators.leastsquares import triangle_fits
 from panelspark.operators.windows import join_dated, series_window
 
 THREE_FACTORS = ("mkt_rf", "smb", "hml")
@@ -71,17 +72,30 @@ def _sweep(df: DataFrame, pivot: int, size: int, kept: Sequence[str]) -> DataFra
 
 
 def ols_by_group(
-    df: DataFrame, y: str, xs: Sequence[str], by: str | None = None
+    df: DataFrame,
+    y: str,
+    xs: Sequence[str],
+    by: str | None = None,
+    method: str = "moments",
 ) -> DataFrame:
     """Least squares of ``y`` on ``xs`` with an intercept, per group or overall.
 
     Emits one row per group and variable with its coefficient and t statistic. Rows with a
-    NULL or NaN in any used column are left out. Collinear groups get NULLs.
+    NULL or NaN in any used column are left out. Collinear groups get NULLs, as do groups with
+    an infinity. ``method`` is ``"moments"`` (one aggregate, for factors that are told apart
+    well) or ``"qr"`` (merged triangles, for factors with a condition number up to 1e12).
     """
+    if method not in ("moments", "qr"):
+        raise ValueError(f"method must be 'moments' or 'qr', not {method!r}")
     used = [f"`{name}`" for name in (*xs, y)]
     k = len(xs)
     groups = [f"`{by}`"] if by else []
     clean = df.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in used))
+    if method == "qr":
+        fits = triangle_fits(clean, y, xs, by, INTERCEPT)
+        return fits.withColumn("tstat", ieee_div("coefficient", "_error")).selectExpr(
+            *groups, "variable", "coefficient", "tstat"
+        )
     moments = ["count(1) AS _n"]
     moments += [f"avg({c}) AS _m{i}" for i, c in enumerate(used)]
     moments += [
