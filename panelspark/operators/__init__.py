@@ -3,6 +3,15 @@ from panelspark.operators.carry import illiq_tail, month_tail, tail_rows
 from panelspark.operators.covariance import as_of_join, check_covariances, covariance_report
 from panelspark.operators.crosssection import quantile_bins, rank_quantile_bins, zscore_by_date
 from panelspark.operators.ic import information_coefficients
+from panelspark.operators.keys import (
+    key_report,
+    key_sketches,
+    key_violations,
+    merge_sketches,
+    observe_keys,
+    refuse_repeats,
+    suspects_repeats,
+)
 from panelspark.operators.optimize import ZERO_BETA, ZERO_INVESTMENT, mvo_weights
 from panelspark.operators.portfolios import (
     bin_returns,
@@ -61,20 +70,27 @@ __all__ = [
     "illiq_rolling",
     "illiq_tail",
     "information_coefficients",
+    "key_report",
+    "key_sketches",
+    "key_violations",
     "lead_factors",
+    "merge_sketches",
     "month_tail",
     "multi_signal_weights",
     "mvo_weights",
+    "observe_keys",
     "ols_by_group",
     "performance_summary",
     "portfolio_returns",
     "quantile_bins",
     "rank_quantile_bins",
+    "refuse_repeats",
     "regression_frame",
     "regression_table_wide",
     "round_doubles",
     "signal_stats",
     "spread_returns",
+    "suspects_repeats",
     "tail_rows",
     "universe_filter",
     "vol_scaled_momentum",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import ieee_div
+from panelspark.operators.keys import refuse_repeated_dates
 from panelspark.operators.leastsquares import triangle_fits
 from panelspark.operators.windows import join_dated, series_window
 
@@ -25,10 +26,11 @@ _COLLINEAR = 1e-12
 
 
 def lead_factors(df: DataFrame, n: int = 1) -> DataFrame:
-    """Every factor column moved ``n`` rows earlier (one row per date)."""
+    """Every factor column moved ``n`` rows earlier; a date that occurs twice fails the job."""
     order = series_window()
     return df.select(
-        "date", *[F.lead(c, n).over(order).alias(c) for c in df.columns if c != "date"]
+        refuse_repeated_dates().alias("date"),
+        *[F.lead(c, n).over(order).alias(c) for c in df.columns if c != "date"],
     )
 
 
