@@ -820,5 +820,6 @@ SELECT date, signal, {r('c', 7, 'cumulative_return')} FROM x7_curve""",
     for name in ("composite_exposure_signal", "portfolio_returns"):
         finals[f"{name}_bucketed"] = finals[name]
     finals["ols_by_group_qr"] = finals["ols_by_group"]
+    finals["multi_signal_weights_by_table"] = finals["multi_signal_weights"]
     finals["refuse_repeats"] = finals["forward_returns"]
     return {name: statement(final) for name, final in finals.items()}

@@ -504,6 +504,15 @@ def q_multi_signal_weights(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_multi_signal_weights_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "weights")
+    _store(spark, sf, path)
+    # Every signal and gamma that the store holds, less the second gamma of one signal.
+    held = read_weights(spark, path).select("signal", "gamma").distinct()
+    chosen = stage(held.where("gamma <> 99"))
+    return rounded(ps.multi_signal_weights(spark, path, chosen, SHORT_START, SHORT_END), 11)
+
+
 # Studies -----------------------------------------------------------------------------
 
 

@@ -49,11 +49,14 @@ def backtest_by_year(
 def multi_signal_weights(
     spark: SparkSession,
     path: str,
-    selection: Mapping[str, float],
+    selection: Mapping[str, float] | DataFrame,
     start: dt.date,
     end: dt.date,
 ) -> DataFrame:
-    """Stored weights of several signals at one gamma each: date, asset, weight, signal."""
+    """Stored weights of several signals: date, asset, weight, signal.
+
+    The selection has one gamma per signal, as a mapping or as a frame (signal, gamma).
+    """
     return read_weights(spark, path, selection, start=start, end=end).select(
         "date", "barrid", "weight", "signal"
     )

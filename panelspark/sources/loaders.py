@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,17 +120,22 @@ def load_covariances(
     return out
 
 
-def _selected(selection: Mapping[str, float]) -> Column:
-    chosen = F.lit(False)
-    for signal, gamma in selection.items():
-        chosen = chosen | ((F.col("signal") == signal) & (F.col("gamma") == float(gamma)))
-    return chosen
+def _selected(df: DataFrame, selection: Mapping[str, float] | DataFrame) -> DataFrame:
+    """Rows whose (signal, gamma) the selection names, by a join that prunes folders at run time."""
+    if isinstance(selection, DataFrame):
+        chosen = selection.select("signal", F.col("gamma").cast("double").alias("gamma"))
+    else:
+        pairs = [(signal, float(gamma)) for signal, gamma in selection.items()]
+        # The pairs come from the driver, which bounds what is broadcast.
+        chosen = F.broadcast(df.sparkSession.createDataFrame(pairs, "signal string, gamma double"))
+    # The optimizer prunes partitions only by a side that has a predicate of its own.
+    return df.join(chosen.where(F.col("gamma") > float("-inf")), ["signal", "gamma"], "left_semi")
 
 
 def read_weights(
     spark: SparkSession,
     path: str,
-    signals: Iterable[str] | Mapping[str, float] | None = None,
+    signals: Iterable[str] | Mapping[str, float] | DataFrame | None = None,
     gammas: Iterable[float] | None = None,
     start: dt.date | None = None,
     end: dt.date | None = None,
@@ -138,11 +143,14 @@ def read_weights(
     """Stored weights of the chosen signals and risk aversions.
 
     ``signal``, ``gamma`` and ``year`` are directories, so the choice and the date range
-    prune whole folders before any file is opened. A mapping picks one gamma per signal.
+    prune whole folders before any file is opened. A mapping picks one gamma per signal; a
+    frame with columns signal and gamma picks any number of pairs. Both are joined, so the
+    plan does not grow with them; a pair named twice or with a NULL adds no row.
     """
     df = spark.read.schema(contracts.WEIGHTS).parquet(path)
-    if isinstance(signals, Mapping):
-        df = df.where(_selected(signals))
+    columns = df.columns
+    if isinstance(signals, (Mapping, DataFrame)):
+        df = _selected(df, signals).select(*columns)
     elif signals is not None:
         df = df.where(F.col("signal").isin(list(signals)))
     if gammas is not None:
