@@ -11,12 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.numeric import is_finite
-
 
 def asset_window(key: str, date: str = "date") -> WindowSpec:
     """One asset's rows in date order."""
@@ -67,66 +65,59 @@ def join_dated(
 def long_rolling(
     df: DataFrame, key: str, rows: int, sums: dict[str, str], deviations: dict[str, str]
 ) -> DataFrame:
-    """Rolling sums and sample deviations over long frames at constant cost per row.
+    """Rolling sums and sample deviations over long frames, in one sort of each asset's rows.
 
     A sliding frame is re-aggregated for every row, which at hundreds of rows per frame
-    dominates a job. Here each asset's history is cut into blocks of ``rows`` rows; any frame
-    is the end of one block plus the start of the next, and both are running aggregates. The
-    two parts merge without cancellation, and a non-finite value touches no frame but its own.
-    ``sums`` and ``deviations`` map an output name to its input column. Frames that are not
-    full of non-null values give NULL. All steps stay in the one shuffle by ``key``.
+    dominates a job. Here spans double: one of 2k rows is a span of k rows and the one that
+    ends k rows earlier, and a frame is put together from the spans in the binary digits of
+    ``rows``. Every step is a lag in date order, so the rows of a task are sorted once and
+    narrow, whatever the frame. Spans merge without cancellation, and a non-finite value
+    touches no frame but its own. ``sums`` and ``deviations`` map an output name to its input
+    column. Frames that are not full of non-null values give NULL. All steps stay in the one
+    shuffle by ``key``.
     """
     order = asset_window(key)
-    block = Window.partitionBy(key, "_block")
-    spans = {
-        side: block.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for side, by in (("_head", F.asc("date")), ("_tail", F.desc("date")))
-    }
-    parts = {}
-    for name, column in sums.items():
-        parts |= {f"{name}_n": F.count(column), f"{name}_sum": F.sum(column)}
-    for name, column in deviations.items():
-        parts |= {
-            f"{name}_n": F.count(column),
-            f"{name}_avg": F.avg(column),
-            f"{name}_var": F.var_pop(column),
-            f"{name}_min": F.min(column),
-            f"{name}_max": F.max(column),
-        }
-    df = df.withColumn("_row", F.row_number().over(order) - 1).withColumn(
-        "_block", F.floor(F.col("_row") / rows)
-    )
-    for side, span in spans.items():
-        df = df.withColumns({f"{side}{n}": a.over(span) for n, a in parts.items()})
-    straddles = F.col("_row") % rows < rows - 1
-    df = df.withColumns(
-        {f"_tail{n}": F.when(straddles, F.lag(f"_tail{n}", rows - 1).over(order)) for n in parts}
-    )
-
-    def both(name: str, part: str):
-        return F.col(f"_head{name}_{part}"), F.col(f"_tail{name}_{part}")
-
-    def full(name: str):
-        head, tail = both(name, "n")
-        return head + F.coalesce(tail, F.lit(0)) >= rows
-
-    results = {}
-    for name in sums:
-        head, tail = both(name, "sum")
-        results[name] = F.when(full(name), F.when(straddles, head + tail).otherwise(head))
-    for name in deviations:
-        n_head, n_tail = both(name, "n")
-        gap = F.col(f"_head{name}_avg") - F.col(f"_tail{name}_avg")
-        var_head, var_tail = both(name, "var")
-        square = var_head * n_head
-        merged = square + var_tail * n_tail + gap * gap * n_head * n_tail / float(rows)
-        low = F.least(*both(name, "min"))
-        high = F.greatest(*both(name, "max"))
-        results[name] = F.when(
-            full(name),
-            F.when(is_finite(low) & is_finite(high) & (low == high), 0.0).otherwise(
-                F.sqrt(F.when(straddles, merged).otherwise(square) / float(rows - 1))
-            ),
-        )
-    helpers = [f"{side}{n}" for side in spans for n in parts]
-    return df.withColumns(results).drop("_row", "_block", *helpers)
+    # A span has a sum per sum, and a mean and a sum of squares around it per deviation.
+    parts = [f"{n}_sum" for n in sums] + [f"{n}_{p}" for n in deviations for p in ("avg", "sq")]
+
+    def merged(later: str, n_later: int, earlier: str, n_earlier: int) -> dict[str, Column]:
+        """The spans ``later`` and ``earlier`` as one; a missing or NULL row makes it NULL."""
+        out = {f"{n}_sum": F.col(f"{later}{n}_sum") + F.col(f"{earlier}{n}_sum") for n in sums}
+        total = float(n_later + n_earlier)
+        for n in deviations:
+            gap = F.col(f"{earlier}{n}_avg") - F.col(f"{later}{n}_avg")
+            square = F.col(f"{later}{n}_sq") + F.col(f"{earlier}{n}_sq")
+            out[f"{n}_avg"] = F.col(f"{later}{n}_avg") + gap * (n_earlier / total)
+            out[f"{n}_sq"] = square + gap * gap * (n_later * n_earlier / total)
+        return out
+
+    def named(prefix: str, columns: dict[str, Column]) -> dict[str, Column]:
+        return {f"{prefix}{n}": c for n, c in columns.items()}
+
+    def lagged(prefix: str, offset: int) -> dict[str, Column]:
+        return named(prefix, {n: F.lag(f"_span{n}", offset).over(order) for n in parts})
+
+    single = {f"{n}_sum": F.col(c).cast("double") for n, c in sums.items()}
+    for n, c in deviations.items():
+        x = F.col(c).cast("double")
+        single |= {f"{n}_avg": x, f"{n}_sq": x - x}  # zero, but NaN where x is not finite
+    df = df.withColumns(named("_span", single))
+    size, done = 1, 0
+    while done < rows:
+        taken, grows = bool(rows & size), rows >= 2 * size
+        earlier = (lagged("_next", size) if grows else {}) | (lagged("_more", done) if taken and done else {})
+        df = df.withColumns(earlier) if earlier else df
+        step = named("_span", merged("_span", size, "_next", size)) if grows else {}
+        if taken:
+            frame = merged("_frame", done, "_more", size) if done else {n: F.col(f"_span{n}") for n in parts}
+            step |= named("_frame", frame)
+            done += size
+        df = df.withColumns(step).drop(*earlier)
+        size *= 2
+
+    results = {n: F.col(f"_frame{n}_sum") for n in sums}
+    for n in deviations:
+        square = F.col(f"_frame{n}_sq")
+        # Merging equal means keeps them as they are, so a constant frame has exactly no squares.
+        results[n] = F.sqrt(square / float(max(rows - 1, 1)))
+    return df.withColumns(results).drop(*[f"{prefix}{n}" for prefix in ("_span", "_frame") for n in parts])

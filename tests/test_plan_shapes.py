@@ -38,6 +38,11 @@ def test_asset_work_shares_one_shuffle(panel):
     assert shuffles(ps.forward_returns(panel)) == 1
 
 
+def test_long_frames_sort_rows_once(panel):
+    plan = plan_of(ps.vol_scaled_momentum(panel.select("date", "barrid", "return")))
+    assert len(re.findall(r"Sort \[", plan)) == 1
+
+
 def test_rolling_does_not_carry_unused_columns(panel):
     out = ps.illiq_rolling(panel, "barrid").select("date", "barrid", "illiq")
     exchange = plan_of(out).split("Exchange")[1]

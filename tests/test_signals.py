@@ -208,3 +208,24 @@ def test_long_frames_match_sliding_frames(spark):
                 assert got is None if want is None else math.isnan(got)
             else:
                 assert got == pytest.approx(want, rel=1e-12, abs=1e-13)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 8, 21, 32, 230])
+def test_long_frames_of_any_length(spark, rows):
+    """Spans of every pattern of binary digits; a missing value empties the frames it is in."""
+    rng = np.random.default_rng(rows)
+    values = [None if d == 5 else 1e6 + float(rng.normal(0, 1e-3)) for d in range(300)]
+    df = spark.createDataFrame(
+        [(day(d), "a", x) for d, x in enumerate(values)], "date date, barrid string, x double"
+    )
+    out = long_rolling(df, "barrid", rows, {"s": "x"}, {"d": "x"})
+    assert out.columns == ["date", "barrid", "x", "s", "d"]
+    got = {r.date: r for r in out.collect()}
+    for d in range(300):
+        spot, part = got[day(d)], values[max(0, d - rows + 1) : d + 1]
+        if len(part) < rows or None in part:
+            assert spot.s is None and spot.d is None
+        else:
+            assert spot.s == pytest.approx(math.fsum(part), rel=1e-14)
+            # The mean of values around 1e6 is rounded at 1e-10, the deviation is near 1e-3.
+            assert spot.d == pytest.approx(np.std(part, ddof=1) if rows > 1 else 0.0, rel=1e-6, abs=1e-12)
