@@ -76,12 +76,19 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.where((F.col("n_rows") > 1) | _incomplete(keys))
 
 
-def key_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def key_report(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
     """One row: n_rows, n_keys (complete ones), n_repeated (rows beyond a key's first), n_null_keys.
 
     Exact, from counts by key that are combined before the shuffle. An empty table gives zeros.
+    ``partitions`` is for frames that a plan ends with an aggregate by the same keys, like a panel
+    derived in the same job: combining saves nothing there, and both hash tables of the counts
+    would lie in one task beside that of the aggregate. Rows are then dealt by key to that many
+    tasks, each holding its share of the keys only.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(*keys)
+    if partitions is not None:
+        rows = rows.repartition(partitions, *keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     complete = ~_incomplete(keys)
 
     def total(value: Column) -> Column:

@@ -3,8 +3,9 @@
 import pytest
 
 import panelspark as ps
-from tests.conftest import day
-from tests.test_plan_shapes import shuffles
+from panelspark.catalog.queries import all_queries
+from tests.conftest import TINY, day
+from tests.test_plan_shapes import plan_of, shuffles
 
 PANEL = "date date, barrid string, `return` double"
 
@@ -28,6 +29,20 @@ def test_report_and_violations_are_exact(spark, clean):
     assert ps.key_violations(clean, ["date", "barrid"]).isEmpty()
 
 
+def test_report_on_dealt_rows_is_the_same(spark, clean):
+    odd = [(day(3), "a1", 9.0), (None, "a1", 1.0), (None, "a1", 1.0), (None, None, 1.0)]
+    df = clean.unionByName(spark.createDataFrame(odd, PANEL))
+    for keys in (["date", "barrid"], ["barrid"]):
+        assert ps.key_report(df, keys, partitions=7).first() == ps.key_report(df, keys).first()
+    assert set(ps.key_report(df.limit(0), ["date", "barrid"], partitions=7).first()) == {0}
+
+
+def test_no_task_counts_keys_beside_the_aggregate_of_a_panel(spark):
+    plan = plan_of(all_queries()["key_report"](spark, TINY))
+    for steps in plan.split("Exchange"):
+        assert not ("HashAggregate(keys=[l_suppkey" in steps and "count(1)" in steps)
+
+
 def test_observed_while_a_job_reads(clean):
     df, seen = ps.observe_keys(clean, ["date", "barrid"])
     assert shuffles(ps.forward_returns(df)) == 1
