@@ -212,8 +212,9 @@ KEYS_PER_TASK = 500_000
 
 
 def q_key_report(spark: SparkSession, sf: str) -> DataFrame:
-    # A panel has no more keys than lineitem has rows, whose number Parquet files state.
-    pieces = 1 + frame(spark, sf, "lineitem").count() // KEYS_PER_TASK
+    # A panel has no more keys than lineitem has rows, whose number Parquet files state. Two pieces
+    # at least: reports on a single partition would all join the last task.
+    pieces = 2 + frame(spark, sf, "lineitem").count() // KEYS_PER_TASK
     reports = [
         ps.key_report(
             frame(spark, sf, name), keys, partitions=pieces if name in DERIVED else None

@@ -41,6 +41,7 @@ def test_no_task_counts_keys_beside_the_aggregate_of_a_panel(spark):
     plan = plan_of(all_queries()["key_report"](spark, TINY))
     for steps in plan.split("Exchange"):
         assert not ("HashAggregate(keys=[l_suppkey" in steps and "count(1)" in steps)
+    assert plan.count("Exchange SinglePartition, ENSURE") == 5  # no report in the union's task
 
 
 def test_observed_while_a_job_reads(clean):
