@@ -32,8 +32,9 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], most: int = 10_000)
 
     ``small`` has one row per key. It is counted: up to ``most`` rows are broadcast. Beyond, it
     is repeated under 64 salts and ``rows`` are dealt out by key and salt, so a key that holds
-    a third of them meets in no single task. Column names of both sides must differ but for
-    ``on``.
+    a third of them meets in no single task. The optimizer takes the repeated table for as small
+    as ``small`` and would send it through the driver, so the join is told to sort and merge.
+    Column names of both sides must differ but for ``on``.
     """
     renamed = small.withColumnsRenamed({c: f"_{c}_key" for c in on})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}_key")) for c in on]
@@ -42,7 +43,7 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], most: int = 10_000)
     else:
         salted = renamed.withColumn("_salt_key", F.explode(F.sequence(F.lit(0), F.lit(63))))
         spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-        joined = spread.join(salted, [*same, F.col("_salt") == F.col("_salt_key")], "left")
+        joined = spread.join(salted.hint("merge"), [*same, F.col("_salt") == F.col("_salt_key")], "left")
         joined = joined.drop("_salt", "_salt_key")
     return joined.drop(*[f"_{c}_key" for c in on])
 
