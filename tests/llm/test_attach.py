@@ -1,8 +1,11 @@
 """Joins with tables of few rows per group: whole results, and nothing large through the driver."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.llm import prefix_trie
 from panelspark.llm.common import attach
 from panelspark.sources import stage
 
@@ -37,3 +40,42 @@ def test_repeated_tables_are_not_broadcast(sides):
     assert "SortMergeJoin" in plan
     assert "Broadcast" not in plan
     assert "BroadcastHashJoin" in plan_of(attach(rows, small, ["k"], most=800))
+
+
+@pytest.fixture
+def watched(monkeypatch):
+    """Plans of the joins that a module makes with ``attach``, here with at most ``most`` rows broadcast."""
+
+    def watch(module, **most):
+        plans = []
+
+        def kept(rows, small, on):
+            out = attach(rows, small, on, **most)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        monkeypatch.setattr(module, "attach", kept)
+        return plans
+
+    return watch
+
+
+def salted_joins(plans):
+    return [m[0] for plan in plans for m in re.finditer(r"\w+Join \[[^\n]*_salt#", plan)]
+
+
+def test_trie_of_many_joints_sends_no_repeated_table_through_the_driver(spark, watched):
+    plans, pairs = watched(prefix_trie), 10_001
+    rows = spark.range(2 * pairs).select(
+        F.col("id").alias("conv_id"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("turn"),
+    ).select(
+        "conv_id",
+        "turn",
+        F.lit("user").alias("role"),
+        F.when(F.col("turn") == 1, F.floor(F.col("conv_id") / 2)).otherwise(F.col("conv_id")).cast("string").alias("text"),
+    )
+    trie = prefix_trie.shared_prefixes(rows)
+    found = trie.groupBy("depth", "n_children").agg(F.count(F.lit(1)).alias("n"), F.sum("n_leaves").alias("leaves"))
+    assert sorted(map(tuple, found.collect())) == [(0, pairs, 1, 2 * pairs), (1, 2, pairs, 2 * pairs), (2, 0, 2 * pairs, 2 * pairs)]
+    assert [join.split()[0] for join in salted_joins(plans)] == ["SortMergeJoin"]
