@@ -5,9 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import prefix_trie
+import corpus_pipeline
+from panelspark.llm import jaccard, prefix_trie
 from panelspark.llm.common import attach
 from panelspark.sources import stage
+from tests.conftest import TINY
 
 
 def plan_of(df):
@@ -79,3 +81,17 @@ def test_trie_of_many_joints_sends_no_repeated_table_through_the_driver(spark, w
     found = trie.groupBy("depth", "n_children").agg(F.count(F.lit(1)).alias("n"), F.sum("n_leaves").alias("leaves"))
     assert sorted(map(tuple, found.collect())) == [(0, pairs, 1, 2 * pairs), (1, 2, pairs, 2 * pairs), (2, 0, 2 * pairs, 2 * pairs)]
     assert [join.split()[0] for join in salted_joins(plans)] == ["SortMergeJoin"]
+
+
+def test_pipeline_sends_no_repeated_table_of_differences_through_the_driver(spark, watched):
+    def edited(places, mark):
+        return " ".join(f"{mark}{i}" if i in places else f"w{i}" for i in range(200))
+
+    # Near copies of one text, and three that share eight edits: too far from it to link, but near each other.
+    texts = [edited([], "")] + [edited([20 * i], f"own{i}x") for i in range(6)]
+    texts += [edited(range(12, 200, 24), "shared") + f" end{i}" for i in range(3)]
+    docs = stage(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], corpus_pipeline.COLUMNS))
+    plans = watched(jaccard, most=0)
+    kept = corpus_pipeline.near_duplicates(spark, docs, TINY).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 7]
+    assert [join.split()[0] for join in salted_joins(plans)] == ["SortMergeJoin"]
